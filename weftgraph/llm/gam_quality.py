@@ -145,10 +145,18 @@ def _quadrants(g: np.ndarray, h: np.ndarray) -> tuple[float, np.ndarray]:
     return float(gains[i, j]), out
 
 
+def _edges(v: np.ndarray) -> np.ndarray:
+    """Half the cuts halve the rows, half the distinct values: rare kinds of text get bins of their own."""
+    if not len(v):
+        return np.empty(0)
+    at = np.linspace(0, 1, BINS // 2 + 1)[1:-1]
+    return np.unique(np.concatenate((np.quantile(v, at), np.quantile(np.unique(v), at))))
+
+
 def fit(x: np.ndarray, y: np.ndarray) -> Model:
     """Learn a model; the order of rows does not matter beyond rounding."""
     share = (y.sum() + 1) / (len(y) + 2)
-    edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS + 1)[1:-1])) if len(x) else np.empty(0) for j in range(len(FEATURES))]
+    edges = [_edges(x[:, j]) for j in range(len(FEATURES))]
     model = Model(edges, float(np.log(share / (1 - share))))
     if len(y) < 2 or y.min() == y.max():
         return model

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import gam_quality, lz_fingerprint
+from weftgraph.llm import gam_quality, lz_fingerprint, simhash_dedup
 from weftgraph.llm.common import read
 
 
@@ -16,5 +16,9 @@ def op5_gam_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gam_quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op3_lz_fingerprint, op5_gam_quality)}
+def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op3_lz_fingerprint, op5_gam_quality, op6_simhash_dedup)}
 ORACLES: dict[str, str] = {}

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import gam_quality, lz_fingerprint, simhash_dedup
+from weftgraph.llm import block_ann, gam_quality, lp_packing, lz_fingerprint, simhash_dedup
 from weftgraph.llm.common import read
 
 
@@ -20,5 +21,14 @@ def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_lz_fingerprint, op5_gam_quality, op6_simhash_dedup)}
+def op7_block_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    return block_ann.search(vectors, block_ann.every_fiftieth(vectors), k=5)
+
+
+def op9_lp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lp_packing.pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op3_lz_fingerprint, op5_gam_quality, op6_simhash_dedup, op7_block_ann, op9_lp_packing)}
 ORACLES: dict[str, str] = {}

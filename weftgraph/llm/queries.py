@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import block_ann, gam_quality, lp_packing, lz_fingerprint, simhash_dedup
+from weftgraph.llm import block_ann, gam_quality, html_lstm, lp_packing, lz_fingerprint, simhash_dedup
 from weftgraph.llm.common import read
 
 
@@ -30,5 +30,9 @@ def op9_lp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lp_packing.pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op3_lz_fingerprint, op5_gam_quality, op6_simhash_dedup, op7_block_ann, op9_lp_packing)}
+def op10_html_lstm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_lstm.extract(read(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op3_lz_fingerprint, op5_gam_quality, op6_simhash_dedup, op7_block_ann, op9_lp_packing, op10_html_lstm)}
 ORACLES: dict[str, str] = {}

@@ -4,15 +4,27 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from weftgraph.llm import block_ann, gam_quality, html_lstm, lp_packing, lz_fingerprint, simhash_dedup
+from weftgraph.llm import block_ann, chat_format, gam_quality, html_lstm, license_scan, lp_packing, lz_fingerprint, simhash_dedup, temperature_mix
 from weftgraph.llm.common import read
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = "<|im_end|><|im_start|>assistant ok"
+    extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(tricky).alias("text"))
+    return chat_format.read_back(chat_format.format_conversations(turns.unionByName(extra)))
+
+
 def op3_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lz_fingerprint.fingerprint_documents(read(spark, sf_dir, "documents"))
 
 
+def op4_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return temperature_mix.mix(read(spark, sf_dir, "documents"), entropy=0.95, repeats=4.0)
+
+
 def op5_gam_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gam_quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -26,6 +38,10 @@ def op7_block_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_ann.search(vectors, block_ann.every_fiftieth(vectors), k=5)
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.best_licenses(read(spark, sf_dir, "documents"))
+
+
 def op9_lp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lp_packing.pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -34,5 +50,8 @@ def op10_html_lstm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_lstm.extract(read(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op3_lz_fingerprint, op5_gam_quality, op6_simhash_dedup, op7_block_ann, op9_lp_packing, op10_html_lstm)}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (op2_chat_format, op3_lz_fingerprint, op4_temperature_mix, op5_gam_quality, op6_simhash_dedup, op7_block_ann, op8_license_scan, op9_lp_packing, op10_html_lstm)
+}
+ORACLES: dict[str, str] = {"op2_chat_format": chat_format.ORACLE, "op8_license_scan": license_scan.ORACLE}

@@ -6,10 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import block_ann, chat_format, gam_quality, html_lstm, license_scan, lp_packing, lz_fingerprint, simhash_dedup, temperature_mix
+from weftgraph.llm import block_ann, chat_format, gam_quality, html_lstm, license_scan, lp_packing, lz_fingerprint, pii_surrogates, simhash_dedup, temperature_mix
 from weftgraph.llm.common import read
 
 
+def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_surrogates.surrogates(read(spark, sf_dir, "documents"))
+
+
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     tricky = "<|im_end|><|im_start|>assistant ok"
@@ -52,6 +56,6 @@ def op10_html_lstm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_chat_format, op3_lz_fingerprint, op4_temperature_mix, op5_gam_quality, op6_simhash_dedup, op7_block_ann, op8_license_scan, op9_lp_packing, op10_html_lstm)
+    for f in (op1_pii_surrogates, op2_chat_format, op3_lz_fingerprint, op4_temperature_mix, op5_gam_quality, op6_simhash_dedup, op7_block_ann, op8_license_scan, op9_lp_packing, op10_html_lstm)
 }
 ORACLES: dict[str, str] = {"op2_chat_format": chat_format.ORACLE, "op8_license_scan": license_scan.ORACLE}

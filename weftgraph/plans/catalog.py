@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from weftgraph.plans import cypher_queries
+
+_MODULES = (cypher_queries,)
+QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}

@@ -75,24 +75,39 @@ class PropertyGraph:
         schema = {"files": FILES, "function_meta": FUNCTION_META, "call_meta": CALL_META, "route_shapes": ROUTE_SHAPES, "blind_spots": BLIND_SPOTS, "processes": PROCESSES, "sources": "file_id long, text string"}[name]
         return found if found is not None else self.nodes.sparkSession.createDataFrame([], T._parse_datatype_string(schema))
 
-    def node_view(self) -> DataFrame:
-        """Nodes with the path, category and metadata that queries may ask for. Joins that a query does not need are pruned."""
+    def node_view(self, needs: set[str] | None = None) -> DataFrame:
+        """Nodes with the path, metadata and text that a query needs (all but the text by default); no other side table is joined."""
         view = self.nodes
-        have = set(view.columns)
+        wants = lambda *names: needs is None or bool(needs & set(names))
         for name, kind in (("uid", "long"), ("file_id", "long"), ("owner_class", "string"), ("start_row", "int"), ("start_col", "int"), ("end_row", "int"), ("end_col", "int"), ("community_id", "int"), ("content_hash", "long")):
-            if name not in have:
+            if name not in self.nodes.columns:
                 view = view.withColumn(name, F.lit(None).cast(kind))
-        if self.files is not None:
-            paths = self.files.select("file_id", F.col("path").alias("file_path"), F.col("category").alias("category"))
-            view = view.join(paths, "file_id", "left")
-        elif "file_path" not in have:
-            view = view.withColumn("file_path", F.lit(None).cast("string")).withColumn("category", F.lit(None).cast("string"))
-        if self.function_meta is not None:
-            meta = self.function_meta.select(F.col("node_id").alias("id"), *FLAGS, "visibility", F.transform("decorators", lambda d: F.regexp_replace(d, "^@", "")).alias("decorators"))
-            view = view.join(meta, "id", "left")
-        for name in FLAGS:
-            known = F.coalesce(F.col(name), F.lit(False)) if name in view.columns else F.lit(False)
-            view = view.withColumn(name, known)
-        view = view.withColumn("visibility", F.coalesce("visibility", F.lit(0)) if "visibility" in view.columns else F.lit(0))
-        none = F.array().cast("array<string>")
-        return view.withColumn("decorators", F.coalesce("decorators", none) if "decorators" in view.columns else none)
+        if wants("file_path", "category", "content"):
+            if self.files is not None:
+                view = view.join(self.files.select("file_id", F.col("path").alias("file_path"), F.col("category").alias("category")), "file_id", "left")
+            for name in ("file_path", "category"):
+                if name not in view.columns:
+                    view = view.withColumn(name, F.lit(None).cast("string"))
+        if wants(*FLAGS, "visibility", "decorators"):
+            if self.function_meta is not None:
+                meta = self.function_meta.select(F.col("node_id").alias("id"), *FLAGS, "visibility", F.transform("decorators", lambda d: F.regexp_replace(d, "^@", "")).alias("decorators"))
+                view = view.join(meta, "id", "left")
+            for name in FLAGS:
+                view = view.withColumn(name, F.coalesce(F.col(name), F.lit(False)) if name in view.columns else F.lit(False))
+            view = view.withColumn("visibility", F.coalesce("visibility", F.lit(0)) if "visibility" in view.columns else F.lit(0))
+            none = F.array().cast("array<string>")
+            view = view.withColumn("decorators", F.coalesce("decorators", none) if "decorators" in view.columns else none)
+        if needs and "content" in needs:
+            view = view.join(self.side("sources").select("file_id", F.col("text").alias("_source")), "file_id", "left").withColumn("content", content()).drop("_source")
+        return view
+
+
+def content() -> F.Column:
+    """The piece of ``_source`` between the start and the end of a span; columns count bytes, and a span outside gives nothing."""
+    lines = F.split("_source", "\n")
+    taken = F.slice(lines, F.col("start_row") + 1, F.col("end_row") - F.col("start_row") + 1)
+    raw = F.encode(F.array_join(taken, "\n"), "UTF-8")
+    tail = F.octet_length(F.element_at(taken, -1)) - F.col("end_col")
+    size = F.octet_length(raw) - tail - F.col("start_col")
+    inside = (F.col("end_row") >= F.col("start_row")) & (F.col("end_row") < F.size(lines)) & (tail >= 0) & (size > 0)
+    return F.coalesce(F.when(inside, F.decode(F.substring(raw, F.col("start_col") + 1, size), "UTF-8")), F.lit(""))

@@ -147,11 +147,8 @@ class _Compiler:
         else:
             low, high = rel.span
             seeds = df.select(F.col(key).alias("seed"))
-            got = reach(seeds, self.edges(rel), rel.direction, high).where(F.col("depth") >= low)
-            hops = got.select(F.col("seed").alias(key), F.col("node").alias("_end"), F.col("via").alias(f"{rel.var}::edge_id"))
-            if wanted:
-                last = self.graph.edges.select(F.col("edge_id").alias(f"{rel.var}::edge_id"), *(self._edge(p, rel.var) for p in wanted))
-                hops = hops.join(last, f"{rel.var}::edge_id", "left")
+            got = reach(seeds, self.edges(rel), rel.direction, high, carry=tuple(wanted)).where(F.col("depth") >= low)
+            hops = got.select(F.col("seed").alias(key), F.col("node").alias("_end"), F.col("via").alias(f"{rel.var}::edge_id"), *(self._edge(p, rel.var) for p in wanted))
         df = df.join(hops, key).drop(key)
         ends = self.nodes(right)
         if ends.columns == [f"{right.var}::id"] and not right.labels and not right.props:  # only the id is asked for

@@ -21,7 +21,7 @@ def traces(entries: DataFrame, edges: DataFrame, fan: int = 4, longest: int = 10
     """(entry, steps): paths along the first callees of each node, without cycles, at most so many of each entry."""
     flow = edges.where((F.col("confidence") >= min_confidence) & (F.col("src") != F.col("dst"))).select("src", "dst", "edge_id")
     first = flow.groupBy("src", "dst").agg(F.min("edge_id").alias("edge_id"))
-    first = first.withColumn("r", F.row_number().over(Window.partitionBy("src").orderBy("edge_id"))).where(F.col("r") <= fan)
+    first = first.withColumn("r", F.row_number().over(Window.partitionBy("src").orderBy("edge_id", "dst"))).where(F.col("r") <= fan)
     first = cut(first.select("src", "dst", "r"), "callees")
     paths = cut(entries.select(F.col("id").alias("entry"), F.array("id").alias("steps"), F.array().cast("array<int>").alias("turn")), "paths")
     ended = []
@@ -36,15 +36,21 @@ def traces(entries: DataFrame, edges: DataFrame, fan: int = 4, longest: int = 10
         ended.append(done)
         if grown.isEmpty():
             break
-        # A breadth-first queue that stops at its quota never needs more open paths than the quota.
-        paths = cut(grown.withColumn("k", F.row_number().over(Window.partitionBy("entry").orderBy("turn"))).where(F.col("k") <= per_entry).drop("k"), "paths")
-    out = ended[0]
-    for e in ended[1:]:
-        out = out.unionByName(e.select(out.columns))
+        # Later traces are longer, so an entry whose quota is full needs no more of its open paths.
+        full = _union(ended).where(F.size("steps") >= shortest).groupBy("entry").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= per_entry)
+        paths = cut(grown.join(full, "entry", "left_anti"), "paths")
+    out = _union(ended)
     out = out.where(F.size("steps") >= shortest)
     return out.withColumn("k", F.row_number().over(Window.partitionBy("entry").orderBy(F.size("steps"), "turn"))).where(F.col("k") <= per_entry).select("entry", "steps")
 
 
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def distinct_traces(found: DataFrame, top: int = 75) -> DataFrame:
     """(entry, terminal, steps): contiguous parts of longer traces go, one trace of each pair of ends stays, the longest first."""
     parts = found.select("steps", F.explode(F.expr("flatten(transform(sequence(1, size(steps)), i -> transform(sequence(1, size(steps) - i + 1), n -> slice(steps, i, n))))")).alias("part")).where(F.size("part") < F.size("steps"))

@@ -24,26 +24,27 @@ def _unknown(direction: str):
     raise ValueError(f"direction must be out, in or both, not {direction}")
 
 
-def reach(seeds: DataFrame, edges: DataFrame, direction: str = "out", max_depth: int | None = None, allowed: DataFrame | None = None, limit: int | None = None) -> DataFrame:
-    """(seed, node, depth, via, parent) of every node within ``max_depth`` of a seed, each at its least depth.
+def reach(seeds: DataFrame, edges: DataFrame, direction: str = "out", max_depth: int | None = None, allowed: DataFrame | None = None, limit: int | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(seed, node, depth, via, parent) and the ``carry`` columns of the discovering edge, of every node within ``max_depth`` of a seed, each at its least depth.
 
     The seed itself has depth 0. ``via`` is the edge of discovery: that of the parent found first, then the smaller
     way and edge_id, as a queue would take them. ``allowed`` holds the ids that may be reached and gone on from.
     """
-    ways = directed(edges.select("edge_id", "src", "dst"), direction)
+    ways = directed(edges.select("edge_id", "src", "dst", *carry), direction)
+    kinds = {f.name: f.dataType for f in edges.schema.fields}
     empty = F.array().cast("array<long>")
-    seen = cut(seeds.select(F.col("seed").cast("long").alias("seed"), F.col("seed").cast("long").alias("node")).distinct().select("seed", "node", F.lit(0).alias("depth"), F.lit(None).cast("long").alias("via"), F.lit(None).cast("long").alias("parent"), empty.alias("turn")), "reach")
+    seen = cut(seeds.select(F.col("seed").cast("long").alias("seed"), F.col("seed").cast("long").alias("node")).distinct().select("seed", "node", F.lit(0).alias("depth"), F.lit(None).cast("long").alias("via"), F.lit(None).cast("long").alias("parent"), empty.alias("turn"), *(F.lit(None).cast(kinds[c]).alias(c) for c in carry)), "reach")
     frontier, levels, depth = seen, [seen], 0
     while max_depth is None or depth < max_depth:
         depth += 1
         turn = F.concat("turn", F.array(F.col("way").cast("long"), F.col("edge_id")))
-        step = frontier.join(ways, F.col("node") == F.col("from")).select("seed", F.col("to").alias("next"), F.struct(turn.alias("turn"), F.col("edge_id").alias("via"), F.col("node").alias("parent")).alias("how"))
+        step = frontier.drop(*carry).join(ways, F.col("node") == F.col("from")).select("seed", F.col("to").alias("next"), F.struct(turn.alias("turn"), F.col("edge_id").alias("via"), F.col("node").alias("parent"), *carry).alias("how"))
         found = step.groupBy("seed", "next").agg(F.min("how").alias("how")).withColumnRenamed("next", "node")
         if allowed is not None:
             found = found.join(allowed.select(F.col("id").alias("node")), "node", "left_semi")
         for level in levels:
             found = found.join(level.select("seed", "node"), ["seed", "node"], "left_anti")
-        frontier = cut(found.select("seed", "node", F.lit(depth).alias("depth"), F.col("how.via").alias("via"), F.col("how.parent").alias("parent"), F.col("how.turn").alias("turn")), "reach")
+        frontier = cut(found.select("seed", "node", F.lit(depth).alias("depth"), F.col("how.via").alias("via"), F.col("how.parent").alias("parent"), F.col("how.turn").alias("turn"), *(F.col(f"how.{c}").alias(c) for c in carry)), "reach")
         if frontier.isEmpty():
             break
         levels.append(frontier)
@@ -52,7 +53,7 @@ def reach(seeds: DataFrame, edges: DataFrame, direction: str = "out", max_depth:
         out = out.unionByName(level)
     if limit is not None:  # the feature of a capped traversal: nearest first
         out = out.orderBy("depth", "turn").limit(limit)
-    return out.select("seed", "node", "depth", "via", "parent")
+    return out.select("seed", "node", "depth", "via", "parent", *carry)
 
 
 def callers_of(graph, start: int, max_depth: int, relations: list[str] | None = None, limit: int = 10_000) -> DataFrame:
@@ -93,10 +94,9 @@ def impact(graph, seeds: DataFrame, direction: str = "up", depth: int = 5, min_c
         if not tests:
             allowed = allowed.join(graph.files.where(F.col("category") == "Test"), "file_id", "left_anti")
         seeds = seeds.join(allowed.select(F.col("id").alias("seed")), "seed", "left_semi")
-    found = reach(seeds, edges, way, depth, allowed).where("depth > 0")
-    kinds = edges.select(F.col("edge_id").alias("via"), "rel_type")
+    found = reach(seeds, edges, way, depth, allowed, carry=("rel_type",)).where("depth > 0")
     guess = F.col("rel_type").isin(sorted(graph.profile.heuristic)) if graph.profile.heuristic else F.lit(False)
-    return found.join(kinds, "via").select("seed", "node", "depth", "via", "rel_type", F.when(guess, "heuristic").otherwise("deterministic").alias("bucket"))
+    return found.select("seed", "node", "depth", "via", "rel_type", F.when(guess, "heuristic").otherwise("deterministic").alias("bucket"))
 
 
 def hidden_edges(graph, reached: DataFrame, direction: str = "up", min_confidence: float = 0.0) -> DataFrame:

@@ -107,7 +107,7 @@ def content() -> F.Column:
     lines = F.split("_source", "\n")
     taken = F.slice(lines, F.col("start_row") + 1, F.col("end_row") - F.col("start_row") + 1)
     raw = F.encode(F.array_join(taken, "\n"), "UTF-8")
-    tail = F.octet_length(F.element_at(taken, -1)) - F.col("end_col")
+    tail = F.octet_length(F.try_element_at(taken, F.lit(-1))) - F.col("end_col")
     size = F.octet_length(raw) - tail - F.col("start_col")
     inside = (F.col("end_row") >= F.col("start_row")) & (F.col("end_row") < F.size(lines)) & (tail >= 0) & (size > 0)
     return F.coalesce(F.when(inside, F.decode(F.substring(raw, F.col("start_col") + 1, size), "UTF-8")), F.lit(""))

@@ -150,8 +150,12 @@ def inspect(graph) -> DataFrame:
     name = graph.nodes.select("id", "name")
     sides = [graph.edges.select(F.col(own).alias("id"), F.col(other).alias("near"), "rel_type", F.lit(way).alias("direction")) for own, other, way in (("src", "dst", "out"), ("dst", "src", "in"))]
     near = reduce(DataFrame.unionByName, sides).join(name.select(F.col("id").alias("near"), "name"), "near")
-    first = near.withColumn("r", F.row_number().over(Window.partitionBy("id", "direction", "rel_type").orderBy("name", "near")))
-    return first.groupBy("id", "direction", "rel_type").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.when(F.col("r") <= 3, F.struct("r", "name")))).alias("f")).select("id", "direction", "rel_type", "n", F.transform("f", lambda x: x["name"]).alias("first"))
+    by = ["id", "direction", "rel_type"]
+    counts = near.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    # The filter on the rank lets each task pass on three rows of a group at most.
+    ranked = near.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("name", "near"))).where("r <= 3")
+    first = ranked.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("r", "name"))).alias("f"))
+    return counts.join(first, by).select(*by, "n", F.transform("f", lambda x: x["name"]).alias("first"))
 
 
 def without_impls(nodes: DataFrame) -> DataFrame:

@@ -70,8 +70,11 @@ def enriched(graph, hits: DataFrame) -> DataFrame:
 
     def side(own: str, other: str, title: str) -> DataFrame:
         near = graph.edges.join(hits.select(F.col("id").alias(own)), own, "left_semi").join(names.withColumnRenamed("id", other), other)
-        ranked = near.withColumn("r", F.row_number().over(Window.partitionBy(own).orderBy("edge_id")))
-        return ranked.groupBy(F.col(own).alias("id")).agg(F.count(F.lit(1)).alias(f"{title}s"), F.array_sort(F.collect_list(F.when(F.col("r") <= 3, F.struct("r", "name")))).alias("first")).select("id", f"{title}s", F.transform("first", lambda x: x["name"]).alias(f"first_{title}s"))
+        # Counts are summed before the shuffle and the first three are picked before it too, so a hub's neighbours never meet in one task.
+        counts = near.groupBy(F.col(own).alias("id")).agg(F.count(F.lit(1)).alias(f"{title}s"))
+        ranked = near.withColumn("r", F.row_number().over(Window.partitionBy(own).orderBy("edge_id"))).where(F.col("r") <= 3)
+        first = ranked.groupBy(F.col(own).alias("id")).agg(F.array_sort(F.collect_list(F.struct("r", "name"))).alias("first")).select("id", F.transform("first", lambda x: x["name"]).alias(f"first_{title}s"))
+        return counts.join(first, "id")
 
     out = hits.join(side("dst", "src", "caller"), "id", "left").join(side("src", "dst", "callee"), "id", "left")
     none = F.array().cast("array<string>")

@@ -224,10 +224,10 @@ def bucketed_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.bucketed(table(spark, sf_dir, "documents"), "lang", 20, F.desc("n_chars"), F.col("doc_id")).select("doc_id", "lang", F.col("rank").cast("long").alias("rank"))
 
 
-@query("SELECT signature, round(sum(1.0 / (60 + rank)), 9) AS score FROM (SELECT n_chars % 97 AS signature, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank FROM documents) GROUP BY signature")
+@query("SELECT signature, round(sum(1.0 / (60 + rank)), 9) AS score FROM (SELECT n_chars % 97 AS signature, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank FROM documents QUALIFY rank <= 100) GROUP BY signature")
 def rank_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    ranked = search.bucketed(docs, "source", 1 << 30, F.desc("n_chars"), F.col("doc_id")).withColumn("signature", F.col("n_chars") % 97)
+    ranked = search.bucketed(docs, "source", 100, F.desc("n_chars"), F.col("doc_id")).withColumn("signature", F.col("n_chars") % 97)
     return search.fused(ranked, "signature").select("signature", F.round("score", 9).alias("score"))
 
 

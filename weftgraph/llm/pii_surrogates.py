@@ -54,10 +54,23 @@ _CARD = r"(?<![\w.])\d(?:[ -]?\d){12,18}(?![\w]|\.\d)"
 _SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
 _PHONE = r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]\d{2,4}){1,4}|\+\d{8,15}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w)"
 _KEY_ID = r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"
-_SECRET = r"(?<=(?:password|passwd|secret|token|api_key)(?: {0,2}[=:] {0,2}\"?))[A-Za-z0-9+/_-]{8,}"
+_SECRET_WORDS = ("password", "passwd", "secret", "token", "api_key")
+_SECRET_LEAD = rf"(?:{'|'.join(_SECRET_WORDS)}) {{0,2}}[=:] {{0,2}}\"?"
+_SECRET = rf"(?=[apst])(?<![A-Za-z]){_SECRET_LEAD}[A-Za-z0-9+/_-]{{8,}}"
 _names = "|".join(sorted({n for g in GIVEN.values() for n in g}))
 _NAME = rf"(?<!{_LETTER})(?:(?:{_names}) \p{{Lu}}[\p{{L}}'-]+|(?<=(?:{'|'.join(TITLES)})\.? )\p{{Lu}}\p{{Ll}}[\p{{L}}'-]*(?: \p{{Lu}}[\p{{L}}'-]+)?)(?!{_LETTER})"
-PATTERN = "|".join((_ADDRESS, _IBAN, _KEY_ID, _IP, _CARD, _SSN, _PHONE, _SECRET, _NAME))
+# Alternatives are guarded by what they can start with, so most characters cost one test.
+NAMES_ONLY = rf"(?=\p{{Lu}}){_NAME}"
+PATTERN = rf"{_ADDRESS}|(?=[0-9+(])(?:{_IP}|{_CARD}|{_SSN}|{_PHONE})|(?=\p{{Lu}})(?:{_KEY_ID}|{_IBAN}|{_NAME})|{_SECRET}"
+
+
+def mentions_of(text: Column) -> Column:
+    """All mentions in order. Texts in which only names can occur take the shorter pattern, which finds the same there."""
+    rich = text.contains("@") | text.contains("AKIA") | text.contains("ASIA") | text.rlike("[0-9]")
+    for w in _SECRET_WORDS:
+        rich = rich | text.contains(w)
+    found = F.when(rich, F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.regexp_extract_all(text, F.lit(NAMES_ONLY), F.lit(0)))
+    return F.coalesce(found, F.array().cast("array<string>"))
 
 
 def _kind(m: Column) -> Column:
@@ -70,7 +83,7 @@ def _kind(m: Column) -> Column:
 
 def _canonical(kind: Column, m: Column) -> Column:
     """The form that all mentions of a value share."""
-    return F.when(kind == "IP", m).when(kind.isin("SECRET", "KEY"), m).when(kind == "EMAIL", F.lower(m)).otherwise(F.lower(F.regexp_replace(m, r"[^\p{L}\p{N}]", "")))
+    return F.when(kind.isin("IP", "KEY"), m).when(kind == "SECRET", F.regexp_replace(m, "^" + _SECRET_LEAD, "")).when(kind == "EMAIL", F.lower(m)).otherwise(F.lower(F.regexp_replace(m, r"[^\p{L}\p{N}]", "")))
 
 
 def items(m: Column) -> Column:
@@ -194,7 +207,7 @@ def replaced(m: Column, attempts, key: str = KEY) -> Column:
 
     def other(e: Column) -> Column:
         drawn = surrogate(e["kind"], e["value"], attempts(e["kind"], e["value"]), key)
-        return let(drawn, lambda x: F.when(e["kind"].isin("IP", "SECRET", "KEY"), x).when(e["kind"] == "EMAIL", _cased(m, x)).otherwise(_written_like(m, x)))
+        return let(drawn, lambda x: F.when(e["kind"].isin("IP", "KEY"), x).when(e["kind"] == "SECRET", F.concat(F.regexp_extract(m, "^" + _SECRET_LEAD, 0), x)).when(e["kind"] == "EMAIL", _cased(m, x)).otherwise(_written_like(m, x)))
 
     whole = let(let(_kind(m), lambda k: F.struct(k.alias("kind"), _canonical(k, m).alias("value"))), lambda e: F.when(e["kind"] == "NAME", F.array_join(F.transform(F.split(m, " "), name), " ")).otherwise(other(e)))
     return whole
@@ -207,7 +220,7 @@ def _cased(mention: Column, value: Column) -> Column:
 
 def redrawn(docs: DataFrame, key: str = KEY) -> DataFrame:
     """(kind, value, attempt) of the distinct values whose first surrogate was in conflict."""
-    found = docs.select(F.explode(F.array_distinct(F.flatten(F.transform(F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)), items)))).alias("e")).select("e.kind", "e.value")
+    found = docs.select(F.explode(F.array_distinct(F.flatten(F.transform(mentions_of(F.col("text")), items)))).alias("e")).select("e.kind", "e.value")
     known = written(found.distinct().withColumn("attempt", F.lit(0)), "values")
     for _ in range(ATTEMPTS + 2):
         drawn = known.select("kind", "value", "attempt", surrogate(F.col("kind"), F.col("value"), F.col("attempt"), key).alias("s"))
@@ -228,7 +241,7 @@ def replace_text(docs: DataFrame, key: str = KEY) -> DataFrame:
     few = again.limit(LITERAL + 1).collect()  # bounded by the limit
     name = lambda kind, value: F.concat_ws("\x1f", kind, value)
     mentions, gaps = fresh(docs, "pii_mentions"), fresh(docs, "pii_gaps")
-    rows = docs.withColumn(mentions, F.coalesce(F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)), F.array().cast("array<string>")))
+    rows = docs.withColumn(mentions, mentions_of(F.col("text")))
     table = fresh(docs, "pii_attempts")
     if not few:
         attempts = lambda kind, value: F.lit(0)

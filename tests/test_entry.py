@@ -23,7 +23,7 @@ def plain(value):
     if value is None or value != value:
         return None
     if isinstance(value, float):
-        return float(f"{value:.6g}")
+        return float(f"{value:.9g}")
     return [plain(x) for x in value] if isinstance(value, (list, tuple)) else value
 
 

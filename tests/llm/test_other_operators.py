@@ -297,3 +297,35 @@ def test_pipeline(spark, data):
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, data)
     assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == ids
     assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").count() == 0
+
+
+def jaccard(a, b):
+    x, y = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split()))
+    return len(x & y) / len(x | y)
+
+
+def test_near_copies_go_and_others_stay(spark, data):
+    """Edited copies of long texts, of which 3-word fingerprints within two bits miss most."""
+    draw = np.random.default_rng(11)
+    texts = []
+    for _ in range(12):
+        w = [f"w{x}" for x in draw.integers(0, 3000, 200)]
+        texts.append(" ".join(w))
+        for edits in (1, 2, 3, 4, 9, 30):
+            v = list(w)
+            for at in draw.choice(200, edits, replace=False):
+                v[at] = "changed"
+            texts.append(" ".join(v))
+    texts += ["", None, "one two", "One  two", "one three", texts[0].upper()]
+    root = list(range(len(texts)))
+    find = lambda i: i if root[i] == i else find(root[i])
+    for i, a in enumerate(texts):
+        for j in range(i):
+            if jaccard(a or "", texts[j] or "") >= 0.8 and find(i) != find(j):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    want = sorted({find(i) for i in range(len(texts))})
+    rows = [(i, t, "en", "web", len(t or "")) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows + rows[:3], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_duplicates(spark, df, data)
+    assert got.columns == df.columns and sorted(r["doc_id"] for r in got.collect()) == want
+    assert corpus_pipeline.near_duplicates(spark, df.limit(0), data).count() == 0

@@ -33,7 +33,7 @@ BITS = 2
 #: Distinct fingerprints under one variant beyond which two-bit variants take over.
 CROWD = 128
 _CHUNK = 1 << 16
-_NO_ID = (1 << 63) - 1
+NO_ID = (1 << 63) - 1
 
 
 def fingerprint(text: bytes, words: int = WORDS) -> int:
@@ -135,7 +135,7 @@ def links(fps: DataFrame) -> DataFrame:
 
 def classes(prints: DataFrame) -> DataFrame:
     """(fp, root, doc_id, text_key): of each distinct fingerprint its component's root and its own first row."""
-    first = prints.groupBy("fp").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc_id"), F.col("text_key").alias("text_key"))).alias("first"))
+    first = prints.groupBy("fp").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.col("text_key").alias("text_key"))).alias("first"))
     first = written(first, "classes")
     roots = components(links(first.select("fp")))
     return first.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
@@ -146,16 +146,20 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     prints = fingerprints(docs, words)
     known = written(classes(prints), "members")
     smallest = known.groupBy("root").agg(F.min("first.doc_id").alias("least"))
-    component = known.select("fp", "root").join(smallest, "root").select("fp", F.nullif(F.col("least"), F.lit(_NO_ID)).alias("component_id"))
+    component = known.select("fp", "root").join(smallest, "root").select("fp", F.nullif(F.col("least"), F.lit(NO_ID)).alias("component_id"))
     text = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return prints.join(component, "fp").select("doc_id", text.alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """The rows of ``docs`` with the smallest doc_id of each component, one row each."""
-    first = written(classes(fingerprints(docs, words)), "members").groupBy("root").agg(F.min("first").alias("first"))
+    return keep_rows(docs, written(classes(fingerprints(docs, words)), "members").groupBy("root").agg(F.min("first").alias("first")))
+
+
+def keep_rows(docs: DataFrame, first: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``first`` names by doc_id and text_key, one row each."""
     kept = first.select(F.col("first.doc_id").alias("kept_id"), F.col("first.text_key").alias("kept_key"))
     turn = fresh(docs, "turn")
-    found = docs.join(kept, (F.coalesce(docs["doc_id"].cast("long"), F.lit(_NO_ID)) == kept["kept_id"]) & (F.xxhash64(docs["text"]) == kept["kept_key"]), "left_semi")
+    found = docs.join(kept, (F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == kept["kept_id"]) & (F.xxhash64(docs["text"]) == kept["kept_key"]), "left_semi")
     # Repeated rows share both keys and meet in one task after the join; one of them stays.
-    return found.withColumn(turn, F.row_number().over(Window.partitionBy(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)), F.xxhash64("text")).orderBy(F.lit(0)))).where(F.col(turn) == 1).drop(turn)
+    return found.withColumn(turn, F.row_number().over(Window.partitionBy(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), F.xxhash64("text")).orderBy(F.lit(0)))).where(F.col(turn) == 1).drop(turn)

@@ -65,6 +65,16 @@ def test_distinct_values_keep_distinct_surrogates(spark, monkeypatch, literal):
     assert len(set(out)) == len(ips) and not set(out) & set(ips)
 
 
+def test_secrets_after_keywords_of_any_case_and_prefix(spark):
+    secrets = ['authtoken = "hunterhunter"', "dbpassword=hunter2hunter2", 'TOKEN = "0641917EA4E9FEB9"', "Password: hunterhunter", "MY_API_KEY=ABCDEFGHIJ", "Mr Secret: hunterhunter", "token = 0641917ea4e9feb9"]
+    rows = spark.createDataFrame([(i, f"a line\n{t} and more") for i, t in enumerate(secrets)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii_surrogates.surrogates(rows).collect()}
+    for i, t in enumerate(secrets):
+        lead, value = re.fullmatch(r'(.*[=:] ?"?)([\w-]+)"?', t).groups()
+        out = got[i]["text"]
+        assert got[i]["n_entities"] == 1 and value not in out and out.startswith(f"a line\n{lead}") and out.endswith(" and more") and len(out) == len(f"a line\n{t} and more")
+
+
 def test_op1_query(spark, data):
     before = {r["doc_id"]: r["text"] for r in read(spark, data, "documents").collect()}
     after = {r["doc_id"]: r for r in queries.QUERIES["op1_pii_surrogates"](spark, data).collect()}

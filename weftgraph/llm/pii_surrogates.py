@@ -55,20 +55,19 @@ _SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
 _PHONE = r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]\d{2,4}){1,4}|\+\d{8,15}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w)"
 _KEY_ID = r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"
 _SECRET_WORDS = ("password", "passwd", "secret", "token", "api_key")
-_SECRET_LEAD = rf"(?:{'|'.join(_SECRET_WORDS)}) {{0,2}}[=:] {{0,2}}\"?"
-_SECRET = rf"(?=[apst])(?<![A-Za-z]){_SECRET_LEAD}[A-Za-z0-9+/_-]{{8,}}"
+_SECRET_LEAD = rf"(?i:{'|'.join(_SECRET_WORDS)}) {{0,2}}[=:] {{0,2}}\"?"
+_SECRET = rf"(?=[apstAPST]){_SECRET_LEAD}[A-Za-z0-9+/_-]{{8,}}"
 _names = "|".join(sorted({n for g in GIVEN.values() for n in g}))
 _NAME = rf"(?<!{_LETTER})(?:(?:{_names}) \p{{Lu}}[\p{{L}}'-]+|(?<=(?:{'|'.join(TITLES)})\.? )\p{{Lu}}\p{{Ll}}[\p{{L}}'-]*(?: \p{{Lu}}[\p{{L}}'-]+)?)(?!{_LETTER})"
 # Alternatives are guarded by what they can start with, so most characters cost one test.
 NAMES_ONLY = rf"(?=\p{{Lu}}){_NAME}"
-PATTERN = rf"{_ADDRESS}|(?=[0-9+(])(?:{_IP}|{_CARD}|{_SSN}|{_PHONE})|(?=\p{{Lu}})(?:{_KEY_ID}|{_IBAN}|{_NAME})|{_SECRET}"
+PATTERN = rf"{_ADDRESS}|(?=[0-9+(])(?:{_IP}|{_CARD}|{_SSN}|{_PHONE})|{_SECRET}|(?=\p{{Lu}})(?:{_KEY_ID}|{_IBAN}|{_NAME})"
 
 
 def mentions_of(text: Column) -> Column:
     """All mentions in order. Texts in which only names can occur take the shorter pattern, which finds the same there."""
     rich = text.contains("@") | text.contains("AKIA") | text.contains("ASIA") | text.rlike("[0-9]")
-    for w in _SECRET_WORDS:
-        rich = rich | text.contains(w)
+    rich = rich | text.rlike(rf"(?=[apstAPST])(?i:{'|'.join(_SECRET_WORDS)})")
     found = F.when(rich, F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.regexp_extract_all(text, F.lit(NAMES_ONLY), F.lit(0)))
     return F.coalesce(found, F.array().cast("array<string>"))
 

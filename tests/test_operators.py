@@ -4,6 +4,7 @@ import json
 
 import pytest
 from pyspark.sql import functions as F
+from weftgraph.plans import graph_queries
 from weftgraph.functions import text as X
 from weftgraph.operators import derive, detect, diff, processes, routes, search, telemetry, traverse
 from weftgraph.plans.model import EDGES, FILES, NODES, PropertyGraph
@@ -204,3 +205,14 @@ def test_ingest_of_python_files(spark, tmp_path):
     back = code.read_snapshot(spark, str(tmp_path / "snap"), ("nodes", "edges", "files"))
     assert got(back.nodes, "id") == got(g.nodes, "id")
     assert search.find(back, "helper").count() == 1
+
+
+def test_registered_communities_strand_no_customer(spark, data):
+    found = graph_queries.communities(spark, data)
+    g = graph_queries.commerce.graph(spark, data)
+    assert found.count() == g.nodes.where("kind IN ('Region', 'Nation', 'Customer', 'Supplier')").count()
+    edges = g.edges.where("rel_type = 'IN_NATION'")
+    c = dict(found.select("id", "community_id").collect())
+    stranded = [r for r in edges.select("src", "dst").collect() if c[r["src"]] != c[r["dst"]]]
+    print("stranded", len(stranded), "communities", len(set(c.values())), "q", processes.modularity(g.edges.where(graph_queries._INSIDE), found).first()["q"])
+    assert not stranded

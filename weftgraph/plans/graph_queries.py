@@ -139,7 +139,7 @@ def modularity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def communities(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = commerce.graph(spark, sf_dir)
     inner = g.edges.where(_INSIDE)
-    return processes.communities(g.nodes.where("kind IN ('Region', 'Nation', 'Customer', 'Supplier')"), inner, passes=2, rounds=4)
+    return processes.communities(g.nodes.where("kind IN ('Region', 'Nation', 'Customer', 'Supplier')"), inner)
 
 
 _ENTRIES = """, flow AS (SELECT * FROM edges WHERE confidence >= 0.5 AND src <> dst),

@@ -9,7 +9,7 @@ import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from weftgraph.llm import block_ann, chat_format, html_blocks, html_lstm, html_training, pii_surrogates, queries, temperature_mix
+from weftgraph.llm import block_ann, chat_format, html_blocks, html_lstm, html_training, near_copies, pii_surrogates, queries, temperature_mix
 from weftgraph.llm.common import read
 
 
@@ -314,8 +314,10 @@ def jaccard(a, b):
     return len(x & y) / len(x | y)
 
 
-def test_near_copies_go_and_others_stay(spark, data):
-    """Edited copies of long texts, of which 3-word fingerprints within two bits miss most."""
+@pytest.mark.parametrize("block", [1024, 5])
+def test_near_copies_go_and_others_stay(spark, data, monkeypatch, block):
+    """Edited copies of long texts, of which 3-word fingerprints within two bits miss most; with groups in one cell and in many."""
+    monkeypatch.setattr(near_copies, "BLOCK_ROWS", block)
     draw = np.random.default_rng(11)
     texts = []
     for _ in range(12):
@@ -326,6 +328,8 @@ def test_near_copies_go_and_others_stay(spark, data):
             for at in draw.choice(200, edits, replace=False):
                 v[at] = "changed"
             texts.append(" ".join(v))
+        for keep in (190, 180, 168, 160, 152, 130):
+            texts.append(" ".join(w[:keep]))
     texts += ["", None, "one two", "One  two", "one three", texts[0].upper()]
     root = list(range(len(texts)))
     find = lambda i: i if root[i] == i else find(root[i])

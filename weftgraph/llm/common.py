@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField
 
 #: Upper bound of code points in the size estimate below; sources without statistics report far more.
 UNKNOWN_SIZE = 1 << 50
@@ -18,29 +21,47 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a local one only where none is set, as in tests."""
+    """The folder that the driver and all executors share; a local one only where none is set and the master is local, as in tests."""
     conf = spark.sparkContext.getConf()
-    if not conf.contains("spark.checkpoint.dir"):
-        found = spark.conf.get("spark.weftgraph.scratch", None)
-        if not found:
-            spark.conf.set("spark.weftgraph.scratch", found := tempfile.mkdtemp(prefix="weftgraph-"))
-        return found
-    return conf.get("spark.checkpoint.dir")
+    if conf.contains("spark.checkpoint.dir"):
+        return conf.get("spark.checkpoint.dir")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    found = spark.conf.get("spark.weftgraph.scratch", None)
+    if not found:
+        spark.conf.set("spark.weftgraph.scratch", found := tempfile.mkdtemp(prefix="weftgraph-"))
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
+    return found
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again, which cuts its lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found.scratch_path = path
+    return found
 
 
-def shuffle_partitions(df: DataFrame, bytes_each: int = 32 << 20) -> int:
-    """Partitions for a shuffle of ``df``: those of the session, more where the input is large."""
-    spark = df.sparkSession
+def discard(*tables: DataFrame) -> None:
+    """Delete what ``written`` wrote for tables that nothing reads any more; other tables are left alone."""
+    for t in tables:
+        if path := getattr(t, "scratch_path", None):
+            context = t.sparkSession.sparkContext
+            at = context._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def partitions_for(spark: SparkSession, size: int, bytes_each: int = 32 << 20) -> int:
+    """Partitions for a shuffle of ``size`` bytes: those of the session, more where that is large."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // bytes_each))
+
+
+def shuffle_partitions(df: DataFrame, times: float = 1.0) -> int:
+    """Partitions for a shuffle of ``times`` the bytes of ``df``: those of the session, more where the input is large."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return least if size > UNKNOWN_SIZE else max(least, -(-size // bytes_each))
+    return partitions_for(df.sparkSession, 0 if size > UNKNOWN_SIZE else int(size * times))
 
 
 def n_rows(df: DataFrame) -> int:
@@ -53,3 +74,13 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def row_key(df: DataFrame) -> Column:
+    """A hash of a whole row; maps, which have no hash of their own, count by their entries as JSON."""
+
+    def plain(f: StructField) -> Column:
+        c = F.col("`" + f.name.replace("`", "``") + "`")
+        return F.to_json(F.struct(c)) if "map<" in f.dataType.simpleString() else c
+
+    return F.xxhash64(*map(plain, df.schema.fields))

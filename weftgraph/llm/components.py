@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import written
+from weftgraph.llm.common import discard, written
 
 
 def _rank(node: F.Column, turn: int) -> F.Column:
@@ -30,7 +30,8 @@ def components(edges: DataFrame) -> DataFrame:
         left = step.select(F.col("node").alias("a"), F.col("root").alias("ra"))
         right = step.select(F.col("node").alias("b"), F.col("root").alias("rb"))
         next_edges = edges.join(left, "a").join(right, "b").where("ra <> rb")
-        edges = written(next_edges.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "edges")
+        used, edges = edges, written(next_edges.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "edges")
+        discard(used)
         turn += 1
     if not levels:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -20,10 +20,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import fresh, written
+from weftgraph.llm.common import fresh, n_rows, partitions_for, row_key, written
 from weftgraph.llm.components import components
 
 SEED = 42
@@ -102,10 +102,9 @@ def _links(key: np.ndarray, fp: np.ndarray, hot: np.ndarray, hot_fp: np.ndarray)
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[i] for x in found])) for i in (0, 1)], ["a", "b"])
 
 
-def _bucketed(keys: DataFrame) -> DataFrame:
-    """Links among the rows (key, fp) that share a key."""
-    n = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return keys.repartition(n, "key").sortWithinPartitions("key", "fp").mapInArrow(_pairs, "a long, b long")
+def _bucketed(keys: DataFrame, rows: int) -> DataFrame:
+    """Links among the ``rows`` rows (key, fp) that share a key."""
+    return keys.repartition(partitions_for(keys.sparkSession, 24 * rows), "key").sortWithinPartitions("key", "fp").mapInArrow(_pairs, "a long, b long")
 
 
 def _one_bit_variants(fps: DataFrame) -> DataFrame:
@@ -125,11 +124,11 @@ def _two_bit_variants(fps: DataFrame) -> DataFrame:
 
 def links(fps: DataFrame) -> DataFrame:
     """All pairs a < b of the distinct ``fps`` that differ in at most two bits."""
-    found = written(_bucketed(_one_bit_variants(fps)), "links")
+    found = written(_bucketed(_one_bit_variants(fps), 64 * n_rows(fps)), "links")
     plain = found.where("a <> b")
-    crowd = found.where("a = b").select(F.col("a").alias("fp")).distinct()
-    if not crowd.isEmpty():
-        plain = plain.union(_bucketed(_two_bit_variants(crowd)).where("a <> b"))
+    crowd = written(found.where("a = b").select(F.col("a").alias("fp")).distinct(), "crowd")
+    if size := n_rows(crowd):
+        plain = plain.union(_bucketed(_two_bit_variants(crowd), 2016 * size).where("a <> b"))
     return plain.distinct()
 
 
@@ -159,7 +158,9 @@ def keep_one(docs: DataFrame, words: int = WORDS) -> DataFrame:
 def keep_rows(docs: DataFrame, first: DataFrame) -> DataFrame:
     """The rows of ``docs`` that ``first`` names by doc_id and text_key, one row each."""
     kept = first.select(F.col("first.doc_id").alias("kept_id"), F.col("first.text_key").alias("kept_key"))
-    turn = fresh(docs, "turn")
-    found = docs.join(kept, (F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == kept["kept_id"]) & (F.xxhash64(docs["text"]) == kept["kept_key"]), "left_semi")
-    # Repeated rows share both keys and meet in one task after the join; one of them stays.
-    return found.withColumn(turn, F.row_number().over(Window.partitionBy(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), F.xxhash64("text")).orderBy(F.lit(0)))).where(F.col(turn) == 1).drop(turn)
+    own_id, own_key = F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)), F.xxhash64(docs["text"])
+    found = docs.join(kept, (own_id == kept["kept_id"]) & (own_key == kept["kept_key"]), "left_semi")
+    # Repeated rows share both keys; the one with the least hash of all columns stays.
+    names = [fresh(docs, n) for n in ("kept_id", "kept_key", "kept_row")]
+    by = [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias(names[0]), F.xxhash64("text").alias(names[1])]
+    return found.groupBy(*by).agg(F.min_by(F.struct(*found.columns), row_key(found)).alias(names[2])).select(f"{names[2]}.*")

@@ -3,10 +3,13 @@
 Texts become token ids, each document ends with an end id, and longer ones are cut into pieces. The lengths of
 the pieces form a histogram of at most ``capacity`` entries, the only thing that comes to the driver. A
 configuration is a set of lengths that fits into a sequence; the linear program asks for the fewest sequences
-whose configurations cover the histogram. Multiplicative weights solve it: each step prices the lengths by what
-is still uncovered, and a knapsack dynamic programme finds the configuration of most worth. The solution is
-rounded to whole sequences, and best fit by falling length places what rounding left. Each piece then looks up
-the place that its rank among the pieces of its length has in the plan.
+whose configurations cover the histogram. Multiplicative weights solve it: each pass prices the lengths by what
+is still uncovered, a knapsack dynamic programme tells the worth of all spaces, and of it follows for each length
+the best configuration that holds it. Passes go on until all is covered. The solution is rounded down to whole
+sequences; the programme is solved again for what that left, now in whole numbers; and best fit by falling length
+places the few pieces that fill no sequence any more. Prices also bound the programme's optimum from below, as any
+prices do; ``solve`` gives that bound with the plan. Each piece then looks up the place that its rank among the
+pieces of its length has in the plan.
 
 Defined cases: a null text counts as empty and is a single end id; empty tables give no rows; repeated rows and
 null doc_ids are packed like others; extra columns are ignored. No id is dropped, repeated or split across
@@ -16,6 +19,7 @@ sequences other than by the cuts.
 from __future__ import annotations
 
 import json
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -30,14 +34,17 @@ from weftgraph.llm.common import written
 
 CAPACITY = 2048
 END = 0
-#: Pricing steps at most, and the share of a length that a step may cover.
-STEPS = 600
-STEP_SHARE = 0.5
-SHARPNESS = 4.0
-#: Share of a sequence that a rounded configuration may leave empty.
-WASTE = 0.002
-#: Shares of the programme's solution that are tried in rounding; the one with the fewest sequences stays.
-ROUNDINGS = (1.0, 0.7, 0.4, 0.2)
+#: Share of what is uncovered of a length that one pass may cover, at first and in whole numbers, and how sharply its price falls as it is covered.
+PASS_SHARE, WHOLE_SHARE = 0.5, 0.25
+SHARPNESS = 1.0
+#: Long pieces are priced above their length to this power, so short ones, which fill gaps, are left for later.
+LEAN = 0.5
+#: Solutions at most, and how much dearer a length becomes for the next one by the share of it that was left to best fit.
+ROUNDS, RISE = 4, 0.5
+#: Share of a length that the fractional solution may leave to rounding.
+LEFT = 0.05
+#: Share of a sequence that a configuration may leave empty; beyond it best fit does better.
+WASTE = 0.02
 
 #: Characters on which both tokenizer libraries split alike (tested); texts with others, or with a long unbroken run, take the slower one.
 _PLAIN = re.compile("[\t\n\r -~ -ɏ‐-‟…€]*")
@@ -102,46 +109,96 @@ def _tokenised(path: str, capacity: int):
     return run
 
 
-def best_configuration(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> dict[int, int]:
-    """Index and number of the lengths that together fit and are worth most (unbounded knapsack)."""
-    value, choice = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    upto = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
+def worths(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> np.ndarray:
+    """The most that fits into each space up to the capacity (unbounded knapsack)."""
+    value = np.zeros(capacity + 1)
+    upto = np.searchsorted(lengths, np.arange(capacity + 1), side="right").tolist()
     for c in range(1, capacity + 1):
-        value[c] = value[c - 1]
-        if k := upto[c]:
-            worth = prices[:k] + value[c - lengths[:k]]
-            j = int(worth.argmax())
-            if worth[j] > value[c]:
-                value[c], choice[c] = worth[j], j
-    found: dict[int, int] = {}
-    c = capacity
-    while c > 0:
-        if choice[c] < 0:
-            c -= 1
-        else:
-            found[j] = found.get(j := int(choice[c]), 0) + 1
-            c -= int(lengths[choice[c]])
-    return found
-
-
-def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[dict[int, int], float]]:
-    """Configurations and how often each is used, by multiplicative weights; they need not cover everything."""
-    covered, used = np.zeros(len(lengths)), {}
-    for _ in range(STEPS):
-        left = covered < 1
-        if not left.any():
+        k = upto[c]
+        value[c] = max(value[c - 1], (prices[:k] + value[c - lengths[:k]]).max()) if k else 0.0
+    return value
+
+
+def lower_bound(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> float:
+    """Sequences that the programme needs at least.
+
+    Any prices are a feasible dual once no configuration is worth over 1: here the lengths, and one for each length over half.
+    """
+    if not len(lengths):
+        return 0.0
+    return max(float((lengths * counts).sum() / worths(lengths, lengths.astype(float), capacity)[capacity]), float(counts[2 * lengths > capacity].sum()))
+
+
+def completed(first: int, lengths: np.ndarray, prices: np.ndarray, value: np.ndarray, room: np.ndarray, capacity: int) -> tuple[dict[int, int], int]:
+    """The best configuration that holds the length ``first``, with at most ``room`` copies of each, and the space it leaves."""
+    found, space, spare = {first: 1}, capacity - int(lengths[first]), room.copy()
+    spare[first] -= 1
+    while k := int(np.searchsorted(lengths, space, side="right")):
+        worth = np.where(spare[:k] >= 1, prices[:k] + value[space - lengths[:k]], -1.0)
+        j = int(worth.argmax())
+        if worth[j] < 0:
             break
-        prices = lengths * np.exp(-SHARPNESS * covered)
-        found = best_configuration(lengths, prices, capacity)
-        found = {j: min(a, int(counts[j])) for j, a in found.items()}
-        times = max(STEP_SHARE * min(counts[j] / a for j, a in found.items()), 1.0)
-        key = tuple(sorted(found.items()))
-        used[key] = used.get(key, 0.0) + times
-        for j, a in found.items():
-            covered[j] += a * times / counts[j]
+        found[j] = found.get(j, 0) + 1
+        spare[j] -= 1
+        space -= int(lengths[j])
+    return found, space
+
+
+def _pass(lengths: np.ndarray, counts: np.ndarray, left: np.ndarray, weights: np.ndarray, capacity: int, waste: int, whole: bool) -> list[tuple[dict[int, int], float]]:
+    """Configurations of one pass, from the longest length on, and their uses; ``left`` falls by what they cover."""
+    live = np.flatnonzero(left >= 1 if whole else left > LEFT * counts)
+    own, share = lengths[live], left[live] / counts[live]
+    prices = weights[live] * np.exp(SHARPNESS * (share - share.max()))
+    value = worths(own, prices, capacity)
+    budget = np.maximum(1, np.floor(WHOLE_SHARE * left[live])) if whole else PASS_SHARE * left[live]
+    # Copies in a configuration: of a length that is used less than once in a pass, one.
+    room, out = np.maximum(1, np.floor(budget)), []
+    for j in range(len(live) - 1, -1, -1):
+        if budget[j] < (1 if whole else 1e-9):
+            continue
+        usable = np.where(budget >= (1 if whole else 1e-9), np.minimum(room, budget) if whole else room, 0)
+        found, space = completed(j, own, prices, value, usable, capacity)
+        if space > waste:
+            continue
+        times = min(budget[i] / n for i, n in found.items())
+        times = float(int(times)) if whole else times
+        out.append(({int(live[i]): n for i, n in found.items()}, times))
+        for i, n in found.items():
+            budget[i] -= n * times
+            left[live[i]] -= n * times
+    return out
+
+
+def fractional(lengths: np.ndarray, counts: np.ndarray, weights: np.ndarray, capacity: int) -> list[tuple[dict[int, int], float]]:
+    """Configurations of indices and how often each is used; together they cover all but ``LEFT`` of each length, or all that fills sequences."""
+    left, used, waste = counts.astype(float), {}, 0
+    while (left > LEFT * counts).any():
+        found = _pass(lengths, counts, left, weights, capacity, waste, whole=False)
+        for pattern, times in found:
+            key = tuple(sorted(pattern.items()))
+            used[key] = used.get(key, 0.0) + times
+        if not found:  # nothing fills a sequence that well any more
+            if (waste := max(1, 2 * waste)) > capacity * WASTE:
+                break
     return [(dict(k), x) for k, x in used.items()]
 
 
+def rounded(solved: list[tuple[dict[int, int], float]], lengths: np.ndarray, counts: np.ndarray, weights: np.ndarray, capacity: int) -> tuple[list[tuple[dict[int, int], int]], np.ndarray]:
+    """Whole uses of configurations of indices, and what they leave: the solution rounded down, then the programme in whole numbers for the rest."""
+    left, out, waste = counts.astype(float), [], 0
+    for pattern, times in solved:
+        if whole := int(times + 1e-9):
+            out.append((pattern, whole))
+            for j, n in pattern.items():
+                left[j] -= n * whole
+    while (left >= 1).any():
+        found = _pass(lengths, counts, left, weights, capacity, waste, whole=True)
+        out += [(pattern, int(times)) for pattern, times in found]
+        if not found and (waste := max(1, 2 * waste)) > capacity * WASTE:
+            break
+    return out, left.astype(np.int64)
+
+
 def best_fit(lengths: list[int], counts: list[int], capacity: int) -> list[tuple[dict[int, int], int]]:
     """Best fit by falling length, over groups of equal sequences: (copies by length, number of sequences)."""
     groups: dict[int, list[tuple[dict[int, int], int]]] = {}
@@ -170,32 +227,39 @@ def best_fit(lengths: list[int], counts: list[int], capacity: int) -> list[tuple
     return [x for g in groups.values() for x in g]
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:
-    """(copies by length, number of such sequences), covering the histogram exactly."""
+def first_weights(lengths: np.ndarray, capacity: int) -> np.ndarray:
+    return lengths * (lengths / capacity) ** LEAN
+
+
+def solve(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[dict[int, int], int]], list[tuple[dict[int, int], int]], float]:
+    """Of the programme and of best fit (copies by length, number of such sequences), covering the histogram exactly; and the programme's lower bound.
+
+    While the result is over a sequence above the bound, what was left to best fit becomes dearer and the programme is
+    solved again, ``ROUNDS`` times at most; the least result stays.
+    """
     lengths = np.array(sorted(k for k, n in histogram.items() if n and k < capacity), dtype=np.int64)
-    left = np.array([histogram[k] for k in lengths.tolist()], dtype=np.int64)
-    out: list[tuple[dict[int, int], int]] = []
-    if len(lengths):
-        solved = sorted(fractional(lengths, left, capacity), key=lambda x: -x[1])
-        out = min((_rounded(solved, share, lengths, left, capacity) for share in ROUNDINGS), key=lambda x: sum(n for _, n in x))
-    if histogram.get(capacity):
-        out.append(({capacity: 1}, histogram[capacity]))
-    return out
+    counts = np.array([histogram[k] for k in lengths.tolist()], dtype=np.int64)
+    full = histogram.get(capacity, 0)
+    lower, best = lower_bound(lengths, counts, capacity), None
+    weights = first_weights(lengths, capacity)
+    for _ in range(ROUNDS if len(lengths) else 0):
+        used, left = rounded(fractional(lengths, counts, weights, capacity), lengths, counts, weights, capacity)
+        rest = left > 0
+        found = [({int(lengths[j]): n for j, n in pattern.items()}, times) for pattern, times in used], best_fit(lengths[rest].tolist(), left[rest].tolist(), capacity)
+        total = sum(n for part in found for _, n in part)
+        if best is None or total < best[0]:
+            best = total, found
+        if total <= math.ceil(lower - 1e-9) + 1:
+            break
+        weights = weights * np.exp(RISE * left / counts)
+    programme, rest = best[1] if best else ([], [])
+    return programme + ([({capacity: 1}, full)] if full else []), rest, lower + full
 
 
-def _rounded(solved: list[tuple[dict[int, int], float]], share: float, lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
-    """Whole uses of the configurations, ``share`` of what the programme says, and best fit for the rest."""
-    left, out = counts.copy(), []
-    for found, times in solved:
-        if capacity - sum(int(lengths[j]) * a for j, a in found.items()) > capacity * WASTE:
-            continue  # best fit does better with these than a sequence with a hole
-        whole = min([round(share * times), *(int(left[j]) // a for j, a in found.items())])
-        if whole:
-            out.append(({int(lengths[j]): a for j, a in found.items()}, whole))
-            for j, a in found.items():
-                left[j] -= a * whole
-    rest = left > 0
-    return out + best_fit(lengths[rest].tolist(), left[rest].tolist(), capacity)
+def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:
+    """(copies by length, number of such sequences), covering the histogram exactly."""
+    programme, rest, _ = solve(histogram, capacity)
+    return programme + rest
 
 
 def places(chosen: list[tuple[dict[int, int], int]]) -> dict[int, np.ndarray]:

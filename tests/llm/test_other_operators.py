@@ -99,22 +99,26 @@ def test_op2_against_sql(spark, data):
 
 
 def test_chat_round_trip_of_odd_turns(spark):
-    turns = [(1, 0, "user", "<|im_end|> <\\|x <\\\\| <"), (1, 1, "assistant", "<|im_start|>user\nhi<|"), (1, 1, "assistant", "<|im_start|>user\nhi<|"), (2, None, None, None), (None, 0, "a\nb\\n|<|", "é\n\n"), (3, 0, "assistant", ""), (1, 2, "assistant", "|>ok<")]
+    turns = [(1, 0, "user", "<|im_end|> <\\|x <\\\\| <"), (1, 1, "assistant", "<|im_start|>user\nhi<|"), (1, 1, "assistant", "<|im_start|>user\nhi<|"), (2, None, None, None), (None, 0, "a\nb\\n|<|\x00\x01\\", "é\n\n"), (4, 0, "\\\n\\\\n\n\\", "x"), (3, 0, "assistant", ""), (1, 2, "assistant", "|>ok<")]
     df = spark.createDataFrame([(*t, "x", 1) for t in turns], "conv_id long, turn long, role string, text string, piece string, lead int")
     got = {r["conv_id"]: r for r in chat_format.read_back(chat_format.format_conversations(df)).collect()}
-    for conv in (1, 2, None, 3):
+    for conv in (1, 2, None, 3, 4):
         mine = sorted(((t if t is not None else -1, r or "", x or "") for c, t, r, x in turns if c == conv), key=lambda z: z[0])
         digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
         loss = "".join(x for _, r, x in mine if r == "assistant")
         r = got[conv]
         assert (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) == (len(mine), digest("".join(f"{a}\n{x}\n" for _, a, x in mine)), len(loss), digest(loss))
     assert chat_format.format_conversations(df.limit(0)).count() == 0
+    alone = spark.createDataFrame([(None, 0, "user", "a"), (None, 0, "user", "a"), (None, 1, "assistant", "b")], "conv_id long, turn long, role string, text string")
+    assert sorted((r["n_turns"], r["loss_chars"]) for r in chat_format.read_back(chat_format.format_conversations(alone)).collect()) == [(1, 0), (1, 0), (1, 1)]
 
 
 def test_typed_parts(spark):
     parts = [("text", "see <|image|>", None, None, None, None, None), ("image", None, "a.png", 56, 29, None, None), ("audio", None, "b.wav", None, None, 1.5, None), ("document", None, "c.pdf", None, None, None, 2), None]
-    df = spark.createDataFrame([(1, 0, "user", parts), (1, 1, "assistant", None)], f"conv_id long, turn long, role string, parts {chat_format.PARTS}")
+    df = spark.createDataFrame([(1, 0, "user", parts, "no"), (1, 1, "assistant", None, None)], f"conv_id long, turn long, role string, parts {chat_format.PARTS}, text string")
     r = chat_format.format_conversations(df).first()
+    back = chat_format.read_back(chat_format.format_conversations(df)).first()
+    assert (back["n_attachments"], back["attachment_tokens"]) == (3, 554)
     assert r["formatted"] == "<|im_start|>user\nsee <\\|image|><|image|><|audio|><|document|><|im_end|>\n<|im_start|>assistant\n<|im_end|>\n"
     assert [tuple(a) for a in r["attachments"]] == [("image", "a.png", 4), ("audio", "b.wav", 38), ("document", "c.pdf", 512)]
 

@@ -43,7 +43,7 @@ def op7_block_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.best_licenses(read(spark, sf_dir, "documents"))
+    return license_scan.scan(read(spark, sf_dir, "documents"))
 
 
 def op9_lp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -297,7 +297,13 @@ def test_bounds_hold():
 
 def test_blocks():
     page = "<p>a <b>b</b>\n c<br>d<p>e &amp; &eacute;<script>x</p></script><li>f<li>g</ul><div hidden>no</div><!-- <p>z -->h<style>q</style><td>i<td>j &am"
-    assert [b.text for b in html_blocks.blocks(page)] == ["a b c d", "e & é", "f", "g", "h", "i", "j &am"]
+    assert [b.text for b in html_blocks.blocks(page)] == ["a b c d", "e & é", "f", "g", "no", "h", "i", "j &am"]
+    assert [html_blocks.NOT_SHOWN in b.names for b in html_blocks.blocks(page)] == [False, False, False, False, True, False, False, False]
+    assert [b.text for b in html_blocks.blocks("<p>Let <math><mi>x</mi></math> be <svg><path/><title>t</title></svg>so<p>next")] == ["Let x be so", "next"]
+    for shown in ('title="the hidden valley"', 'data-t="a hidden b"', 'class="hidden-xs"', 'style="color:red" data-s="display:none"', 'data-hidden="1"', "aria-hidden=true"):
+        assert not html_blocks.not_shown(" " + shown)
+    for unseen in ("hidden", 'hidden=""', 'class=x hidden id=y', "style='Display : None'", 'style="color:red;display:none"'):
+        assert html_blocks.not_shown(" " + unseen)
     assert html_blocks.blocks("") == [] and html_blocks.blocks("<p>") == [] and [b.text for b in html_blocks.blocks("x")] == ["x"]
     assert html_blocks.blocks('<div class="mainNav top"><a href=x>y</a>')[0].names == ("main", "nav", "top")
 
@@ -337,6 +343,19 @@ def test_op10_query(spark):
     assert right / len(got) > 0.98
 
 
+def test_words_of_attributes_and_formulas_do_not_hide_text():
+    page = "<html><body><nav><ul><li><a href='/'>Home</a></li><li><a href='/b'>News</a></li></ul></nav>{}<footer>&copy; 2020 me</footer></body></html>"
+    words = "This is a long sentence of the article, with several words in it. " * 3
+    cases = [
+        (f"<article><h1>Heading of the text</h1><p title='the hidden gem'>Main text. {words}</p><p>Let <math><mi>x</mi></math> be. {words}</p></article>", f"Heading of the text\nMain text. {words}\nLet x be. {words}"),
+        (f"<article data-t='a hidden b'><h1>Heading</h1><p>{words}</p><p>{words}</p></article>", f"Heading\n{words}\n{words}"),
+        (f"<article><h1>Heading</h1><p>{words}</p><div style='display:none'>Unseen words stand here</div><p>{words}</p></article>", f"Heading\n{words}\n{words}"),
+        (f"<article><h1>Heading</h1><p>{words}</p><p>{words}</p></article><form><label>Pick one</label><select><option>Red<option>Green</select></form>", f"Heading\n{words}\n{words}"),
+    ]
+    found = html_lstm.main_texts(html_lstm.load(), [page.format(c) for c, _ in cases])
+    assert found == ["\n".join(x.strip() for x in want.split("\n")) for _, want in cases]
+
+
 def test_extraction_of_odd_pages(spark):
     rows = [(1, "u", None, "x"), (2, None, "", "x"), (None, "u", "<html>", "x"), (3, "u", "<nav><a href=/>Home</a></nav><article><h1>T</h1>" + "<p>Some text here.</p>" * 2000 + "</article><footer>&copy; me</footer>", "x"), (2, None, "", "x")]
     out = html_lstm.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()

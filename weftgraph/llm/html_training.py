@@ -43,7 +43,20 @@ class Page:
             return " ".join(self.r.choice([self.word()] * 3 + [self.sentence(1, 3)]) for _ in range(self.r.randint(2, 40)))
         if self.style < 0.14:
             return "!! ".join(self.word().upper() for _ in range(self.r.randint(2, 40))) + "!!"
-        return " ".join(self.sentence() for _ in range(self.r.randint(low, high)))
+        text = " ".join(self.sentence() for _ in range(self.r.randint(low, high)))
+        return f"{text} {self.graphic()} {self.sentence()}" if self.r.random() < 0.02 else text
+
+    def graphic(self) -> str:
+        """Formulas, graphics and fallbacks within a line."""
+        return self.r.choice((f"<math><mi>{self.word()}</mi><mo>=</mo><mn>{self.r.randint(1, 9)}</mn></math>", "<svg viewBox='0 0 9 9'><title>icon</title><path d='M0 0'/></svg>", f"<object data='x'>{self.word()}</object>"))
+
+    def unseen(self) -> str:
+        """An element that browsers do not show."""
+        tag = self.r.choice(("div", "div", "p", "section", "span"))
+        return f"<{tag} {self.r.choice(('hidden', 'style="display:none"', 'hidden=""', 'style="color:red; display: none"', 'class="x" hidden'))}>{self.r.choice((self.prose(1, 3), self.sentence(), f'<b>{self.sentence()}</b>', self.r.choice(NOTICES)))}</{tag}>"
+
+    def choices(self) -> str:
+        return "<select name='x'>" + "".join(f"<option>{self.r.choice((self.word(), self.sentence(1, 3)))}</option>" for _ in range(self.r.randint(1, 8))) + "</select>"
 
     def named(self, tag: str, *names: str, chance: float = 0.8) -> str:
         """A start tag, mostly with one of the names."""
@@ -71,7 +84,7 @@ class Page:
         return f"{self.named(tag, 'header', 'masthead', 'banner', 'site-header', 'top', chance=1 if tag == 'div' else 0.6)}{inner}{self.nav() if self.r.random() < 0.5 else ''}{self.form() if self.r.random() < 0.2 else ''}</{tag}>"
 
     def form(self) -> str:
-        return f"<form action='/x'>{self.r.choice(('', f'<p>{self.prose(1, 2)}</p>', f'<h3>{self.r.choice(NOTICES)}</h3>'))}<label>{self.r.choice(NOTICES)}</label><input type='text'><button>{self.word()}</button></form>"
+        return f"<form action='/x'>{self.r.choice(('', f'<p>{self.prose(1, 2)}</p>', f'<h3>{self.r.choice(NOTICES)}</h3>'))}<label>{self.r.choice(NOTICES)}</label><input type='text'>{self.choices() if self.r.random() < 0.3 else ''}<button>{self.word()}</button></form>"
 
     def aside(self) -> str:
         tag = self.r.choice(("aside", "aside", "div"))
@@ -128,8 +141,10 @@ class Page:
                 out.append(f"<figure><img src='x'><figcaption>{m}{self.sentence()}</figcaption></figure>")
             elif k < 0.96:
                 out.append(f'<p>{m}{self.prose(1, 3)} <a href="/x">{self.sentence(1, 4)}</a> {self.prose(1, 2)}</p>')
-            elif k < 0.98:
+            elif k < 0.975:
                 out.append(self.advert())
+            elif k < 0.985:
+                out.append(self.r.choice((self.unseen, self.unseen, self.choices))())
             else:
                 out.append(self.notice())
         return "".join(out)
@@ -145,8 +160,8 @@ class Page:
         return f"{self.named(tag, *names, chance=0.9 if tag in ('div', 'section') else 0.35)}{inner}</{tag}>"
 
     def draw(self) -> str:
-        top = [f() for f, p in ((self.notice, 0.25), (self.header, 0.4), (self.nav, 0.75), (self.advert, 0.5), (self.notice, 0.1), (self.aside, 0.15)) if self.r.random() < p]
-        below = [f() for f, p in ((self.advert, 0.2), (self.aside, 0.3), (self.comments, 0.35), (self.notice, 0.15), (self.form, 0.1), (self.footer, 0.85)) if self.r.random() < p]
+        top = [f() for f, p in ((self.notice, 0.25), (self.header, 0.4), (self.nav, 0.75), (self.advert, 0.5), (self.notice, 0.1), (self.aside, 0.15), (self.unseen, 0.1), (self.choices, 0.05)) if self.r.random() < p]
+        below = [f() for f, p in ((self.advert, 0.2), (self.aside, 0.3), (self.comments, 0.35), (self.notice, 0.15), (self.form, 0.1), (self.footer, 0.85), (self.unseen, 0.08)) if self.r.random() < p]
         if self.r.random() < 0.15:
             self.r.shuffle(top)
         inside = self.article()
@@ -224,7 +239,7 @@ def gradients(w: dict[str, np.ndarray], pages: list[tuple[list[Block], np.ndarra
     return loss, out
 
 
-def train(pages: int = 4000, epochs: int = 8, seed: int = 1, rate: float = 0.01) -> dict[str, np.ndarray]:
+def train(pages: int = 8000, epochs: int = 12, seed: int = 1, rate: float = 0.01) -> dict[str, np.ndarray]:
     """Adam over drawn pages, in batches of pages of similar length."""
     data = [p for p in map(drawn, range(seed * 1_000_000, seed * 1_000_000 + pages)) if p[0]]
     data.sort(key=lambda p: len(p[0]))

@@ -15,6 +15,7 @@ from weftgraph.llm.common import read
 
 # --- personal data
 
+KEY = "a key of the tests"
 PII = [
     (1, "Mail bob.smith@mail.example.com or +1 (386) 555-3733, card 4111 1111 1111 1111."),
     (2, "From 25.86.162.211: +1-386-555-3733 and BOB.SMITH@mail.example.com; ssn 123-45-6789"),
@@ -33,7 +34,7 @@ def luhn(s):
 def test_surrogates(spark, monkeypatch, literal):
     monkeypatch.setattr(pii_surrogates, "LITERAL", literal)
     rows = spark.createDataFrame([(i, t, "x", 5) for i, t in PII], "doc_id long, text string, pii_gaps string, n_entities int")
-    got = [(r["doc_id"], r["text"], r["n_entities"]) for r in pii_surrogates.surrogates(rows).collect()]
+    got = [(r["doc_id"], r["text"], r["n_entities"]) for r in pii_surrogates.surrogates(rows, KEY).collect()]
     text = {(i, n): t for i, t, n in got}
     assert (5, None, 0) in got and (6, "", 0) in got and (7, PII[6][1], 0) in got
     joined = " ".join(t or "" for _, t, _ in got)
@@ -51,7 +52,7 @@ def test_surrogates(spark, monkeypatch, literal):
     iban = re.search(r"GB[\w ]+", text[3, 5])[0].replace(" ", "")
     assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
     assert text[4, 3].startswith("password=") and 'token = "' in text[4, 3]
-    assert pii_surrogates.surrogates(rows.limit(0)).count() == 0
+    assert pii_surrogates.surrogates(rows.limit(0), KEY).count() == 0
 
 
 @pytest.mark.parametrize("literal", [2000, 0])
@@ -60,15 +61,61 @@ def test_distinct_values_keep_distinct_surrogates(spark, monkeypatch, literal):
     monkeypatch.setattr(pii_surrogates, "LITERAL", literal)
     ips = [f"{a}.{b}.{c}.7" for a in range(1, 9) for b in range(1, 9) for c in range(1, 9)]
     rows = spark.createDataFrame([(i, f"host {x} up") for i, x in enumerate(ips)], "doc_id long, text string")
-    assert pii_surrogates.redrawn(rows).count() > 0
-    out = [r["text"].split()[1] for r in pii_surrogates.surrogates(rows).collect()]
+    assert pii_surrogates.redrawn(rows, KEY).count() > 0
+    out = [r["text"].split()[1] for r in pii_surrogates.surrogates(rows, KEY).collect()]
     assert len(set(out)) == len(ips) and not set(out) & set(ips)
 
 
+def test_crowded_formats_stay_formats(spark):
+    """6000 of the 10,000 addresses d.d.d.d: no value without a surrogate of its own, none left as it was."""
+    ips = [f"{i // 1000}.{i // 100 % 10}.{i // 10 % 10}.{i % 10}" for i in range(6000)]
+    rows = spark.createDataFrame([(i, f"host {x} up") for i, x in enumerate(ips)], "doc_id long, text string").repartition(4)
+    out = {r["doc_id"]: r["text"].split()[1] for r in pii_surrogates.surrogates(rows, KEY).collect()}
+    assert len(set(out.values())) == 6000 and all(re.fullmatch(r"\d\.\d\.\d\.\d", x) for x in out.values())
+    assert all(out[i] != x for i, x in enumerate(ips))
+
+
+def test_permutations_are_one_to_one(spark):
+    """Whole small formats: every value has another value as its surrogate, and no two the same."""
+    cases = [("PHONE", [str(n) for n in range(100, 1000)]), ("SSN", [f"0{n:02}" for n in range(100)]), ("SECRET", [a + b for a in "abcdefghijklmnopqrstuvwxyz" for b in "0123456789"]), ("IP", [f"{a}.1.25.{b}" for a in range(100, 256) for b in range(10, 100)][:3000]), ("CARD", [f"4{n:03}{c}" for n in range(1000) for c in (0, 7)])]
+    for kind, values in cases:
+        df = spark.createDataFrame([(v,) for v in values], "v string")
+        for attempt in (0, 1):
+            out = {r["v"]: r["s"] for r in df.select("v", pii_surrogates.surrogate(F.lit(kind), F.col("v"), F.lit(attempt), KEY).alias("s")).collect()}
+            assert len(set(out.values())) == len(values) and all(a != b and len(a) == len(b) for a, b in out.items())
+            if kind != "IP":
+                assert kind == "CARD" or set(out.values()) == set(values)
+            if kind == "CARD":
+                assert all(luhn(a) == luhn(b) and b[0] == "4" for a, b in out.items())
+    other = {r["v"]: r["s"] for r in df.select("v", pii_surrogates.surrogate(F.lit("CARD"), F.col("v"), F.lit(0), "another").alias("s")).collect()}
+    assert sum(other[v] == pii for v, pii in {r["v"]: r["s"] for r in df.select("v", pii_surrogates.surrogate(F.lit("CARD"), F.col("v"), F.lit(0), KEY).alias("s")).collect()}.items()) < 20
+    with pytest.raises(ValueError):
+        pii_surrogates.surrogates(df.select(F.lit(1).alias("doc_id"), F.col("v").alias("text")), "")
+
+
+def test_coreference_within_and_across_documents(spark):
+    texts = ["Mary Smith came. Smith left, and Smith's dog. Smithson stayed.", "Dr Smith is no title here. Smith", "call +1 (386) 555-3733", "call (386) 555-3733 or 386-555-3733", "Mr. O'Brien and Anna O'Brien met. O'Brien slept.", "nobody here, 25 apples"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in pii_surrogates.surrogates(rows, KEY).collect()}
+    name = re.fullmatch(r"(\w+) (\w+) came\. (\w+) left, and (\w+)'s dog\. Smithson stayed\.", got[0]).groups()
+    assert name[0] in pii_surrogates.GIVEN["latin", "f"] and name[0] != "Mary" and len(set(name[1:])) == 1 and name[1] != "Smith"
+    assert got[1] == texts[1] and got[5] == texts[5]
+    digits = [re.sub(r"\D", "", got[k])[-10:] for k in (2, 3)] + [re.sub(r"\D", "", got[3])[:10]]
+    assert len(set(digits)) == 1 and digits[0] != "3865553733" and got[2].startswith("call +1 (")
+    assert "O'Brien" not in got[4] and len(set(re.findall(r"\w+(?= and| met| slept)", got[4]))) == 1
+
+
+def test_surrogates_keep_columns_of_any_name(spark):
+    rows = spark.createDataFrame([(1, "Mary Smith", 5, 7, {"a": 1}), (None, None, 0, None, None)], "doc_id long, text string, n_chars int, N_Entities int, pii_mentions map<string,int>")
+    out = pii_surrogates.clean_documents(rows, KEY)
+    assert out.schema == rows.schema and {(r["doc_id"], r["N_Entities"]) for r in out.collect()} == {(1, 7), (None, None)}
+    assert pii_surrogates.clean_documents(rows.limit(0), KEY).count() == 0
+
+
 def test_secrets_after_keywords_of_any_case_and_prefix(spark):
     secrets = ['authtoken = "hunterhunter"', "dbpassword=hunter2hunter2", 'TOKEN = "0641917EA4E9FEB9"', "Password: hunterhunter", "MY_API_KEY=ABCDEFGHIJ", "Mr Secret: hunterhunter", "token = 0641917ea4e9feb9"]
     rows = spark.createDataFrame([(i, f"a line\n{t} and more") for i, t in enumerate(secrets)], "doc_id long, text string")
-    got = {r["doc_id"]: r for r in pii_surrogates.surrogates(rows).collect()}
+    got = {r["doc_id"]: r for r in pii_surrogates.surrogates(rows, KEY).collect()}
     for i, t in enumerate(secrets):
         lead, value = re.fullmatch(r'(.*[=:] ?"?)([\w-]+)"?', t).groups()
         out = got[i]["text"]

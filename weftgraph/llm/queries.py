@@ -10,8 +10,13 @@ from weftgraph.llm import block_ann, chat_format, gam_quality, html_lstm, licens
 from weftgraph.llm.common import read
 
 
+def surrogate_key(spark: SparkSession) -> str:
+    """The key of the surrogates: a secret of whoever runs the session; the test tables need none of their own."""
+    return spark.conf.get("spark.weftgraph.surrogateKey", "key of the test tables")
+
+
 def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii_surrogates.surrogates(read(spark, sf_dir, "documents"))
+    return pii_surrogates.surrogates(read(spark, sf_dir, "documents"), surrogate_key(spark))
 
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,11 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of a packed tile, and bytes of vectors that a cell of the grid holds of either side, on average.
+from weftgraph.llm.common import partitions_for
+
+#: Rows of a packed tile, and bytes and rows of vectors that a cell of the grid holds of either side, on average.
 TILE = 512
 CELL_BYTES = 16 << 20
-#: Queries that are multiplied at a time within a cell.
-STRIP = 256
+CELL_ROWS = 1 << 16
+#: Products that are worked out at a time within a cell, and components of pairs that are recomputed at a time.
+PRODUCTS = 1 << 22
+COMPONENTS = 1 << 22
 _SLACK = 1e-9
 _TILES = "dim long, n long, ids binary, vectors binary"
 
@@ -89,23 +93,44 @@ def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def nearest(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(query id, id, cosine) of each query's k nearest of the rows, and maybe some more."""
+    """(query id, id, cosine) of each query's k nearest of the rows, and maybe some more; a part at a time."""
     codes, scale, norm, rest = quantised(rows)
     kind = np.float32 if rows.shape[1] * 127 * 127 < 1 << 24 else np.float64  # products of codes stay exact
     right = codes.T.astype(kind)
-    for at in range(0, len(queries), STRIP):
-        q = queries[at : at + STRIP]
+    strip, piece = max(1, PRODUCTS // len(ids)), max(1, COMPONENTS // rows.shape[1])
+    for at in range(0, len(queries), strip):
+        q = queries[at : at + strip]
         q_codes, q_scale, q_norm, q_rest = quantised(q)
         near = (q_codes.astype(kind) @ right).astype(np.float64) * q_scale[:, None] * scale[None, :]
         error = q_rest[:, None] + q_norm[:, None] * rest[None, :] + _SLACK
-        own = query_ids[at : at + STRIP, None] == ids[None, :]
+        own = query_ids[at : at + strip, None] == ids[None, :]
         low = np.where(own, -np.inf, near - error)
         if len(ids) > k:  # copies of one row may stand at several places, so bounds are taken over distinct ids
             bound = np.partition(low, len(ids) - k, axis=1)[:, len(ids) - k]
         else:
             bound = np.full(len(q), -np.inf)
         i, j = np.nonzero((near + error >= bound[:, None]) & ~own)
-        yield query_ids[at + i], ids[j], cosines(q[i], rows[j])
+        for a in range(0, len(i), piece):  # copies of one vector may all survive
+            b = i[a : a + piece], j[a : a + piece]
+            yield query_ids[at + b[0]], ids[b[1]], cosines(q[b[0]], rows[b[1]])
+
+
+def distinct_rows(ids: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Places of the first of all rows that are alike in id and vector, bit by bit."""
+    both = np.concatenate((np.ascontiguousarray(ids, np.int64).view(np.uint8).reshape(len(ids), -1), np.ascontiguousarray(rows).view(np.uint8).reshape(len(ids), -1)), axis=1)
+    return np.sort(np.unique(both.view(f"V{both.shape[1]}").ravel(), return_index=True)[1])
+
+
+def top(q: np.ndarray, i: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each query its k best ids, each with its greatest score; ties go to the smaller id."""
+    order = np.lexsort((-s, i, q))
+    q, i, s = q[order], i[order], s[order]
+    once = np.concatenate(([True], (q[1:] != q[:-1]) | (i[1:] != i[:-1]))) if len(q) else np.zeros(0, bool)
+    q, i, s = q[once], i[once], s[once]
+    order = np.lexsort((i, -s, q))
+    q, i, s = q[order], i[order], s[order]
+    rank = np.arange(len(q)) - np.searchsorted(q, q)
+    return q[rank < k], i[rank < k], s[rank < k]
 
 
 def _first(found: list[tuple[float, int]], k: int) -> list[tuple[float, int]]:
@@ -115,17 +140,15 @@ def _first(found: list[tuple[float, int]], k: int) -> list[tuple[float, int]]:
 
 def _cell(k: int):
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        best: dict[int, dict[int, float]] = {}
+        best = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
         for dim in set(left["dim"]) & set(right["dim"]):
             ids, rows = _unpack(right[right["dim"] == dim])
-            _, once = np.unique(np.column_stack((ids.astype(np.float64), rows)), axis=0, return_index=True) if len(np.unique(ids)) < len(ids) else (None, slice(None))
-            ids, rows = ids[once], rows[once]
-            for q, i, c in nearest(*_unpack(left[left["dim"] == dim]), ids, rows, k + len(ids) - len(np.unique(ids))):
-                for a, b, s in zip(q.tolist(), i.tolist(), c.tolist(), strict=True):
-                    mine = best.setdefault(a, {})
-                    mine[b] = max(s, mine.get(b, -2.0))
-        out = [(q, i, -s) for q, mine in best.items() for s, i in _first([(-s, i) for i, s in mine.items()], k)]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+            if len(np.unique(ids)) < len(ids):
+                once = distinct_rows(ids, rows)
+                ids, rows = ids[once], rows[once]
+            for part in nearest(*_unpack(left[left["dim"] == dim]), ids, rows, k + len(ids) - len(np.unique(ids))):
+                best = top(*(np.concatenate(x) for x in zip(best, part, strict=True)), k)
+        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), best, strict=True)))
 
     return run
 
@@ -149,14 +172,14 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     size = lambda df: df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("v") * 4), F.lit(0)).alias("b")).first()
     right, left = size(rows), size(asked)
     tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    across = max(-(-right["b"] // CELL_BYTES), min(tasks, -(-right["n"] // TILE)), 1)
-    down = max(-(-left["b"] // CELL_BYTES), 1)
+    across = max(-(-right["b"] // CELL_BYTES), -(-right["n"] // CELL_ROWS), min(tasks, -(-right["n"] // TILE)), 1)
+    down = max(-(-left["b"] // CELL_BYTES), -(-left["n"] // CELL_ROWS), 1)
     place = lambda n: F.pmod(F.xxhash64("ids"), F.lit(n)).cast("long")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>"))
     tiles = rows.mapInArrow(_pack, _TILES).withColumn("x", place(across)).withColumn("y", each(down))
     blocks = asked.mapInArrow(_pack, _TILES).withColumn("y", place(down)).withColumn("x", each(across))
     found = blocks.groupBy("x", "y").cogroup(tiles.groupBy("x", "y")).applyInPandas(_cell(k), "query_id long, vec_id long, score double")
-    return found.repartition(tasks, "query_id").sortWithinPartitions("query_id").mapInArrow(_merged(k), "query_id long, rank int, vec_id long, score double")
+    return found.repartition(partitions_for(vectors.sparkSession, 24 * k * left["n"] * across), "query_id").sortWithinPartitions("query_id").mapInArrow(_merged(k), "query_id long, rank int, vec_id long, score double")
 
 
 def every_fiftieth(vectors: DataFrame) -> DataFrame:

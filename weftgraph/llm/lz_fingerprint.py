@@ -26,6 +26,8 @@ from weftgraph.llm.common import shuffle_partitions
 
 #: Hashes kept of each text; each takes eight hexadecimal digits.
 SIZE = 128
+#: Runs at most, so that their bounds and heads stay small for the driver; larger tables have longer runs, which are sorted on disk.
+RUNS = 1 << 15
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
@@ -160,12 +162,17 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [[]] * len(types), types, strict=True)], names)
 
 
+def _numbers(values: list[int | None]) -> F.Column:
+    """An array as one literal, whatever its length; "-" stands for null."""
+    return F.transform(F.split(F.lit(",".join("-" if v is None else str(v) for v in values)), ","), lambda v: v.try_cast("long"))
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, text, bucket, border): each bucket is a run of the descending order, ended by the head of the next run.
 
     The only shuffle of texts. Bounds of the runs are quantiles of doc_id; their heads are as many as the runs.
     """
-    n = shuffle_partitions(docs)
+    n = min(shuffle_partitions(docs), RUNS)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     ids = docs.select("doc_id")
     cuts = ids.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 10 * n + 1000).alias("q")).first()["q"] or []
@@ -173,21 +180,21 @@ def with_next(docs: DataFrame) -> DataFrame:
     steps = [1 << k for k in reversed(range(len(bounds).bit_length()))] or [1]
     at = F.lit(0)
     if bounds:  # a binary search: how many bounds lie above
-        array = F.array(*map(F.lit, bounds))
+        array = _numbers(bounds)
         at = F.aggregate(
             F.array(*map(F.lit, steps)), F.lit(0),
             lambda got, step: F.when((got + step <= len(bounds)) & (F.coalesce(F.get(array, got + step - 1), F.lit(0)) > F.col("doc_id")), got + step).otherwise(got),
         )
         at = F.when(F.col("doc_id").isNull(), F.lit(len(bounds))).otherwise(at)
-    heads = sorted((r["bucket"], r["head"]) for r in ids.select("doc_id", at.alias("bucket")).groupBy("bucket").agg(F.max("doc_id").alias("head")).collect())
-    targets = {head: heads[i - 1][0] for i, (_, head) in enumerate(heads)}
-    own, extra = at.cast("int"), F.array().cast("array<int>")
-    null_target = targets.pop(None, None)
-    if targets:
-        found = F.element_at(F.create_map(*[F.lit(x) for kv in targets.items() for x in kv]), F.col("doc_id"))
-        extra = F.when(F.col("doc_id").isin(list(targets)), F.array(found.cast("int"))).otherwise(extra)
-    if null_target is not None:  # a run of rows without doc_id only
-        extra = F.when(F.col("doc_id").isNull(), F.array(F.lit(null_target).cast("int"))).otherwise(extra)
+    at = at.cast("int")
+    heads = {r["bucket"]: r["head"] for r in ids.select("doc_id", at.alias("bucket")).groupBy("bucket").agg(F.max("doc_id").alias("head")).collect()}  # one row a run
+    order = sorted(heads)
+    target = {b: order[k - 1] for k, b in enumerate(order)}
+    # The head of a run also ends the run before it: its target by the run's number, the largest id that a run of null ids has being none.
+    every = range(len(bounds) + 1)
+    head = F.get(_numbers([heads.get(b) for b in every]), at)
+    extra = F.when(F.col("doc_id").eqNullSafe(head), F.array(F.get(_numbers([target.get(b, 0) for b in every]), at).cast("int"))).otherwise(F.array().cast("array<int>"))
+    own = at
     rows = docs.select("doc_id", "text", F.posexplode(F.concat(F.array(own), extra)).alias("border", "bucket"))
     rows = rows.repartitionById(len(bounds) + 1, F.col("bucket"))
     return rows.sortWithinPartitions("bucket", "border", F.col("doc_id").desc_nulls_last(), "text")

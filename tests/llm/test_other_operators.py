@@ -329,6 +329,19 @@ def test_neighbours_of_odd_vectors(spark, monkeypatch):
     assert block_ann.search(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_large_ids_and_crowds_of_copies(spark, monkeypatch):
+    monkeypatch.setattr(block_ann, "PRODUCTS", 5000)
+    monkeypatch.setattr(block_ann, "COMPONENTS", 3000)
+    big = 1 << 53
+    rows = [(50, [1.0, 0.0]), (big, [1.0, 0.1]), (big + 1, [1.0, 0.1]), (7, [0.0, 1.0]), (7, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = block_ann.search(df, df.where("vec_id = 50")).collect()
+    assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"])] == [big, big + 1, 7]
+    crowd = spark.range(5001).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0), F.lit(2.0), (F.col("id") % 2500 == 1).cast("double")).cast("array<float>").alias("embedding"))
+    found = block_ann.search(crowd, crowd.where("vec_id in (0, 2501)")).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in found) == [(0, k + 1, v) for k, v in enumerate((2, 3, 4, 5, 6))] + [(2501, k + 1, v) for k, v in enumerate((1, 0, 2, 3, 4))]
+
+
 def test_bounds_hold():
     r = np.random.default_rng(5)
     for scale in (1.0, 1e-200, 1e200):

@@ -62,6 +62,39 @@ def test_likeness_follows_the_phrase_sets():
     assert lz_fingerprint.likeness(lz_fingerprint.fingerprint(""), lz_fingerprint.fingerprint("a")) == 0.0
 
 
+def slow_signature(text):
+    """The fingerprint's hashes, from the phrases one by one."""
+    mask, base = (1 << 64) - 1, 0x9E3779B97F4A7C15
+
+    def mixed(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & mask
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & mask
+        return x ^ x >> 31
+
+    found = {mixed(sum(mixed(ord(c) + 1) * pow(base, k, 1 << 64) for k, c in enumerate(p)) & mask) >> 32 for p in phrases(text)}
+    return sorted(found)[:128]
+
+
+def slow_likeness(a, b):
+    if not a or not b:
+        return float(len(a) == len(b))
+    union = sorted(set(a) | set(b))
+    union = union[:128] if 128 in (len(a), len(b)) else union
+    return len([x for x in union if x in set(a) and x in set(b)]) / len(union)
+
+
+def test_signatures_and_likeness_against_a_plain_version():
+    r = random.Random(5)
+    texts = ["", "a", "abab", "é漢🙂 " * 9] + ["".join(r.choice("abcde ") for _ in range(n)) for n in (30, 400, 4000)]
+    texts.append(texts[-1][:3000] + "xyz" * 200)
+    slow = [slow_signature(t) for t in texts]
+    fast = [lz_fingerprint.fingerprint(t) for t in texts]
+    assert [f.tolist() for f in fast] == slow
+    for i in range(len(texts)):
+        for j in range(len(texts)):
+            assert lz_fingerprint.likeness(fast[i], fast[j]) == slow_likeness(slow[i], slow[j])
+
+
 def check_fingerprints(rows, table):
     order = sorted(table, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
     texts = [t or "" for _, t in order]
@@ -120,6 +153,46 @@ def test_model_learns_an_interaction():
     assert (1, 0) in m.pairs and ((m.score(x) > 0.5) == y).mean() > 0.9
 
 
+def test_a_score_is_the_sum_of_its_bins():
+    r = np.random.default_rng(2)
+    x = r.random((500, len(gam_quality.FEATURES)))
+    m = gam_quality.fit(x, (x[:, 0] + x[:, 3] * x[:, 4] > 0.8).astype(float))
+    for row in x[:40]:
+        at = [sum(v >= e for e in edges) for v, edges in zip(row, m.edges, strict=True)]
+        total = m.base + sum(m.single[j][k] for j, k in enumerate(at)) + sum(t[at[i], at[j]] for (i, j), t in m.pairs.items())
+        assert abs(m.score(row[None])[0] - 1 / (1 + np.exp(-total))) < 1e-12
+    assert m.pairs
+
+
+def test_trees_are_the_best_of_their_kind():
+    r = np.random.default_rng(7)
+    gain = lambda g, h: g.sum() ** 2 / (h.sum() + 1)
+    for n in (2, 3, 8):
+        g, h = r.normal(size=n), r.random(n) + 0.1
+        first = max(range(1, n), key=lambda k: gain(g[:k], h[:k]) + gain(g[k:], h[k:]))
+        spans = [(0, first), (first, n)]
+        second = max(((gain(g[a:k], h[a:k]) + gain(g[k:b], h[k:b]) - gain(g[a:b], h[a:b]), a, k, b) for a, b in spans for k in range(a + 1, b)), default=None)
+        if second and second[0] > 1e-9:
+            spans = [s for s in spans if s != (second[1], second[3])] + [(second[1], second[2]), (second[2], second[3])]
+        want = np.zeros(n)
+        for a, b in spans:
+            want[a:b] = g[a:b].sum() / (h[a:b].sum() + 1)
+        assert np.allclose(gam_quality._steps(g, h), want)
+    g, h = r.normal(size=(4, 5)), r.random((4, 5)) + 0.1
+    cuts = [(g[:i, :j], h[:i, :j], g[:i, j:], h[:i, j:], g[i:, :j], h[i:, :j], g[i:, j:], h[i:, j:]) for i in range(1, 4) for j in range(1, 5)]
+    best = max(sum(gain(c[k], c[k + 1]) for k in range(0, 8, 2)) for c in cuts) - gain(g, h)
+    found, table = gam_quality._quadrants(g, h)
+    assert abs(found - best) < 1e-9 and len(np.unique(table)) == 4
+
+
+def test_learning_does_not_hang_on_the_order_of_repeated_ids(spark):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    rows = [(i, ("good words here. " if i % 2 else "!!! 123 ") * (1 + i % 5)) for i in range(60)] + [(i, "other text " * k) for i in range(60) for k in (1, 2, 3)]
+    models = [gam_quality.train(docs(spark, *x), labels) for x in (rows, rows[::-1])]
+    x = np.array([gam_quality.features(t) for _, t in rows])
+    assert np.allclose(models[0].score(x), models[1].score(x))
+
+
 # --- near-duplicates
 
 

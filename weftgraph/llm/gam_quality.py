@@ -9,7 +9,7 @@ Learning takes at most ``TRAIN_ROWS`` labelled rows, those with the smallest has
 measured on the whole of every text.
 
 Defined cases: a null text counts as empty and has a score like any other; labels that are null are left out;
-a doc_id with several labels counts as 1 if any is; without labels, or with labels of one kind, all scores are
+a doc_id with several labels counts as 1 if any is, one with several texts by the text of the least hash; without labels, or with labels of one kind, all scores are
 the share of label 1 (smoothed). Rows are scored one by one, so repeated rows and null doc_ids just stay.
 """
 
@@ -193,7 +193,7 @@ def fit(x: np.ndarray, y: np.ndarray) -> Model:
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         values = [features(t or "") for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(values, pa.list_(pa.float64()))], ["doc_id", "x"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(values, pa.list_(pa.float64()))], ["doc_id", "text_key", "x"])
 
 
 def held_out(doc_id) -> F.Column:
@@ -209,8 +209,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     if not found:
         return fit(np.empty((0, len(FEATURES))), np.empty(0))
     ids = docs.sparkSession.createDataFrame([(i,) for i in found], "doc_id long")  # at most ``rows`` of them
-    chosen = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi")
-    got = chosen.mapInArrow(_measured, "doc_id long, x array<double>").toPandas().sort_values("doc_id", kind="stable").drop_duplicates("doc_id")
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text").join(F.broadcast(ids), "doc_id", "left_semi")
+    measured = chosen.mapInArrow(_measured, "doc_id long, text_key long, x array<double>")
+    # Of several texts with one doc_id the one with the least hash counts, so no more rows come than there are ids.
+    got = measured.groupBy("doc_id").agg(F.min(F.struct("text_key", "x")).alias("m")).select("doc_id", "m.x").toPandas().sort_values("doc_id")
     if got.empty:
         return fit(np.empty((0, len(FEATURES))), np.empty(0))
     return fit(np.stack(got["x"].to_numpy()), np.array([found[i] for i in got["doc_id"]]))

@@ -9,7 +9,7 @@ import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from weftgraph.llm import block_ann, chat_format, html_blocks, html_lstm, html_training, near_copies, pii_surrogates, queries, temperature_mix
+from weftgraph.llm import block_ann, chat_format, gam_quality, html_blocks, html_lstm, html_training, near_copies, pii_surrogates, queries, temperature_mix
 from weftgraph.llm.common import read
 
 
@@ -479,3 +479,96 @@ def test_near_copies_go_and_others_stay(spark, data, monkeypatch, block):
     got = corpus_pipeline.near_duplicates(spark, df, data)
     assert got.columns == df.columns and sorted(r["doc_id"] for r in got.collect()) == want
     assert corpus_pipeline.near_duplicates(spark, df.limit(0), data).count() == 0
+
+
+def test_run_against_a_plain_version(spark, tmp_path):
+    """All stages on drawn documents with planted copies, secrets and junk, against loops over rows."""
+    draw, ids = np.random.default_rng(21), iter(range(1, 10_000))
+    prose = lambda n: " ".join(f"w{x}{'.' if k % 9 == 8 else ''}" for k, x in enumerate(draw.integers(0, 2000, n)))
+    rows, labels = [], []
+    for k in range(60):
+        text = prose(int(draw.integers(40, 300)))
+        rows.append((next(ids), text, "en", ("a", "b", "b", "c", "c", "c", None)[k % 7], len(text), 1))
+        labels.append((rows[-1][0], 1, 0))
+        junk = "%$# 999 " * int(draw.integers(20, 90))
+        rows.append((next(ids), junk, "en", "a", len(junk), 1))
+        labels.append((rows[-1][0], 0, 0))
+    planted = {}
+    for i, text, *_ in [r for r in rows if r[0] % 2][:12]:
+        w = text.split()
+        w[len(w) // 2] = "changed"
+        copy = " ".join(w)
+        rows.append((next(ids), copy, "en", "b", len(copy), 2))
+        mail = f"{prose(60)} mail{i}@host.example.com, Mary Smith and Smith. password=hunter{i}hunter"
+        rows.append((next(ids), mail, "en", "c", len(mail), 3))
+        planted[rows[-1][0]] = (f"mail{i}@host", "Mary", "Smith", f"hunter{i}hunter")
+    rows += [(next(ids), None, "en", "c", None, 4), (None, prose(80), "en", "c", 1, 4), rows[0]]
+    columns = "doc_id long, text string, lang string, source string, n_chars long, turn int"
+    spark.createDataFrame(rows, columns).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs, known = read(spark, str(tmp_path), "documents"), read(spark, str(tmp_path), "labels")
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+
+    model = gam_quality.train(docs, known)
+    good = [r for r in rows if model.score(np.array([gam_quality.features(r[1] or "")]))[0] >= 0.3]
+    assert len(good) < len(rows) - 40
+    first = corpus_pipeline.quality(spark, docs, str(tmp_path))
+    assert sorted(map(tuple, first.collect()), key=key) == sorted(good, key=key)
+
+    distinct = sorted(set(good), key=key)
+    root = {k: k for k in range(len(distinct))}
+    find = lambda k: k if root[k] == k else find(root[k])
+    for i, a in enumerate(distinct):
+        for j in range(i):
+            if jaccard(a[1] or "", distinct[j][1] or "") >= 0.8 and find(i) != find(j):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    kept = [distinct[k] for k in sorted({find(k) for k in root})]
+    assert len(kept) <= len(set(good)) - 12
+    second = corpus_pipeline.near_duplicates(spark, first, str(tmp_path))
+    assert sorted(map(tuple, second.collect()), key=key) == sorted(kept, key=key)
+
+    third = {r["doc_id"]: r for r in corpus_pipeline.personal_data(spark, second, str(tmp_path)).collect()}
+    assert set(third) == {r[0] for r in kept}
+    for i, text, *rest in kept:
+        out = third[i]
+        if i in planted:
+            assert not any(x in out["text"] for x in planted[i]) and out["n_chars"] == len(out["text"]) and out["text"].startswith(text[:200].rsplit(" mail", 1)[0])
+        else:
+            assert out["text"] == text
+        assert (out["lang"], out["source"], out["turn"]) == (rest[0], rest[1], rest[3])
+
+    fourth = corpus_pipeline.mixing(spark, second, str(tmp_path))
+    size = lambda t: max(1, len(re.split(r"\s+", (t or "").strip(" "))))
+    total = {}
+    for r in kept:
+        total[r[3]] = total.get(r[3], 0) + size(r[1])
+    top = max(total.values())
+    low, high = 0.0, 1.0
+    for _ in range(60):  # the least exponent at which no source comes over twice
+        middle = (low + high) / 2
+        low, high = (low, middle) if max((t / top) ** middle * top / t for t in total.values()) <= 2 else (middle, high)
+    copies = {}
+    for r in fourth.collect():
+        copies[r["doc_id"]] = copies.get(r["doc_id"], 0) + 1
+    for source, t in total.items():
+        mine = [r for r in kept if r[3] == source]
+        drawn = sum(copies[r[0]] * size(r[1]) for r in mine)
+        want = (t / top) ** high * top
+        assert min(copies[r[0]] for r in mine) >= 1 and max(copies[r[0]] for r in mine) <= 2
+        assert want - 2 <= drawn < want + max(size(r[1]) for r in mine)
+
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in out} == {r[0] for r in kept}
+    pieces = {}
+    for r in out:
+        pieces[r["doc_id"]] = pieces.get(r["doc_id"], 0) + (r["piece"] == 0)
+    assert pieces == copies
+    places = {}
+    for r in out:
+        places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert all(sorted(v)[0][0] == 0 and all(a[0] + a[1] == b[0] for a, b in zip(sorted(v), sorted(v)[1:])) and sum(n for _, n in v) <= 2048 for v in places.values())  # noqa: B905
+    assert len(places) <= -(-sum(r["length"] for r in out) // 2048) + 1
+
+    empty = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, str(tmp_path)).count() == 0

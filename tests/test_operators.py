@@ -26,13 +26,13 @@ def test_identifier_tokens(spark):
 
 
 def test_routes_and_reasons(spark):
-    assert values(spark, X.route_path(F.col("a")), ("/users/{id}/:x/?q=1",), ("<p>/${v}/a",), ("",)) == ["users/:*/:*", ":*/:*/a", ""]
+    assert values(spark, X.route_path(F.col("a")), ("/users/{id}/:x/?q=1",), ("<p>/${v}/a",), ("",), ("/user-${id}/a#b",), ("//a/x-{y}/:",)) == ["users/:*/:*", ":*/:*/a", "", ":*/a#b", "a/x-{y}/:*"]
     code_ = X.reason(F.array(F.col("a"), F.col("b")), F.lit(3))
     assert values(spark, X.reason_keys(code_), ("x", "y")) == [["x", "y"]]
     assert values(spark, X.reason_fetches(code_), ("x", "y")) == [3]
-    assert values(spark, X.topic(F.col("a")), ("prod.OrderCreated.v2",), ("order_created",), ("a-b/c",)) == ["order.created", "order.created", "a.b.c"]
+    assert values(spark, X.topic(F.col("a")), ("prod.OrderCreated.v2",), ("order_created",), ("a-b/c",), ("HTTPServer",), ("dev.prod.x",), ("test.XMLParser:Ok.v1.2",), ("",)) == ["order/created", "order/created", "a/b/c", "http/server", "prod/x", "test/xml/parser/ok/v1/2", ""]
     assert values(spark, routes.excluded(F.col("a")), ("/{a}/:b",), ("/x/{a}",), ("",)) == [True, False, True]
-    assert values(spark, X.file_category(F.col("a")), ("src/a.py",), ("tests/test_a.py",), ("docs/x.md",), ("examples/test_a.py",), ("a.toml",), ("vendor/tests/x.py",)) == ["Source", "Test", "Document", "Example", "Config", "Reference"]
+    assert values(spark, X.file_category(F.col("a")), ("src/a.py",), ("tests/test_a.py",), ("docs/x.md",), ("examples/test_a.py",), ("a.toml",), ("vendor/tests/x.py",), ("Dockerfile",), ("FooTest.java",), ("Manifest.java",), ("a.ini",), ("docs/x.py",), ("a\\\\Tests\\\\x.cs",)) == ["Source", "Test", "Document", "Example", "Config", "Reference", "Config", "Test", "Source", "Source", "Source", "Test"]
 
 
 def test_globs():
@@ -113,9 +113,9 @@ def test_detectors(spark):
 def test_derivations(spark):
     nodes = small(spark, [(1, "C", "Class", None, 0, 20), (2, "m", "Method", None, 2, 4), (3, "D", "Class", None, 30, 40), (5, "n", "Method", "C", 50, 52), (7, "p", "Property", None, 3, 3)], []).nodes.withColumn("file_id", F.lit(0).cast("long"))
     assert got(derive.membership(nodes), "src", "dst", "rel_type") == [(1, 2, "HasMethod"), (1, 5, "HasMethod"), (1, 7, "HasProperty")]
-    m = spark.createDataFrame([(1, "S", "pay"), (2, "S", "undo_pay"), (3, "T", "rollbackPay"), (4, "T", "pay")], "id long, owner string, name string")
+    m = spark.createDataFrame([(1, "S", "pay"), (2, "S", "undo_pay"), (3, "T", "rollbackPay"), (4, "T", "pay"), (5, "S", "undone"), (6, "S", "ne"), (7, "S", "revert_pay"), (8, "S", "UndoBook"), (9, "S", "Book"), (10, "S", "book")], "id long, owner string, name string")
     calls = spark.createDataFrame([(2, 1)], "src long, dst long")
-    assert got(derive.saga_pairs(m, calls), "src", "dst", "confidence") == [(1, 2, 0.8), (4, 3, 0.6)]
+    assert got(derive.saga_pairs(m, calls), "src", "dst", "confidence") == [(1, 2, 0.8), (4, 3, 0.6), (9, 8, 0.6)]
     over = spark.createDataFrame([("T", "S")], "owner string, parent string")
     assert got(derive.overrides(m, over), "src", "dst") == [(4, 1)]
     q = spark.createDataFrame([(1, "INSERT INTO Orders SELECT * FROM items"), (2, "select * from orders")], "id long, sql string")

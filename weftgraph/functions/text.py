@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,17 +31,17 @@ def glob_pattern(glob: str) -> str:
 
 
 def topic(name: Column) -> Column:
-    """Canonical form of a topic: no environment in front, no version behind, camel case and separators as dots, lower case."""
-    t = F.regexp_replace(name, r"^(?i)(prod|production|staging|stage|dev|development|test|qa|local)[._\-/:]", "")
-    t = F.regexp_replace(t, r"(?i)[._\-/:]v\d+$", "")
-    t = F.regexp_replace(t, r"([a-z0-9])([A-Z])", r"$1.$2")
-    return F.lower(F.regexp_replace(t, r"[._\-/:\s]+", "."))
+    """Canonical form of a topic: no environment in front, no version behind, slashes for separators and at humps, lower case."""
+    t = F.regexp_replace(F.regexp_replace(name, r"^(?:prod|dev|staging)\.", ""), r"\.v[0-9]+$", "")
+    t = F.trim(F.replace(F.translate(t, "_-:.", "////"), F.lit("//"), F.lit("/")), F.lit("/"))
+    t = F.regexp_replace(t, r"(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", "/")
+    return F.lower(F.replace(t, F.lit("//"), F.lit("/")))
 
 
 def route_path(path: Column) -> Column:
-    """A route's path in one form: no query, fragment or slashes at the ends; parameters of all styles are ``:*``."""
-    plain = F.regexp_replace(F.regexp_replace(path, r"[?#].*$", ""), r"^/+|/+$", "")
-    return F.regexp_replace(plain, r"(^|/)(:[^/]+|\{[^/}]*\}|<[^/>]*>|\$\{[^/}]*\})(?=/|$)", "$1:*")
+    """A route's path in one form: no query, no slashes at the ends; segments that are or hold a parameter are ``:*``."""
+    plain = F.trim(F.regexp_replace(path, r"(?s)\?.*$", ""), F.lit("/"))
+    return F.regexp_replace(plain, r"(^|/)(?::[^/]*|\{[^/]*\}|<[^/]*>|[^/]*\$\{[^/]*)(?=/|$)", "$1:*")
 
 
 def reason(keys: Column, fetches: Column) -> Column:
@@ -71,17 +73,29 @@ def literal_likeness(a: Column, b: Column) -> Column:
     return F.greatest(edit, F.when(inside, 0.9).otherwise(0.0))
 
 
+# What marks a path's category: directories, pieces and ends in lower case, and ends of test classes as they are.
+REFERENCE_DIRS = "vendor node_modules .venv venv site-packages .tox .bundle gems .pub-cache .gradle .m2 pods carthage .build third_party external deps".split()
+EXAMPLE_DIRS = "examples example sample samples demo demos".split()
+TEST_PIECES = ".test. .spec. -spec. __tests__/ __mocks__/ /test/ /tests/ /testing/ /fixtures/ /e2e/ /spec/ /test_ /conftest.".split()
+TEST_ENDS = "_test.go _test.py _spec.rb _test.rb".split()
+TEST_CLASSES = "Test.java Tests.java Test.kt Tests.kt Tests.swift Tests.cs Test.cs Test.php Spec.scala Test.scala".split()
+DOCUMENT_ENDS = ".md .txt .rst".split()
+CONFIG_ENDS = ".json .toml .yaml .yml dockerfile".split()
+
+
+def _any(values: list[str], before: str = "", after: str = "") -> str:
+    return before + "(" + "|".join(re.escape(v) for v in values) + ")" + after
+
+
 def file_category(path: Column) -> Column:
     """Reference, example, test, document, config or source, the first that fits."""
-    p = F.lower(path)
+    plain = F.replace(path, F.lit("\\"), F.lit("/"))
+    p = F.concat(F.lit("/"), F.lower(plain))
+    test = p.rlike(_any(TEST_PIECES)) | p.rlike(_any(TEST_ENDS, after="$")) | plain.rlike(_any(TEST_CLASSES, after="$"))
     return (
-        F.when(p.rlike(r"(^|/)(vendor|third_party|node_modules|reference|references)/"), "Reference")
-        .when(p.rlike(r"(^|/)(examples?|samples?|demos?)/"), "Example")
-        .when(p.rlike(r"(^|/)(tests?|__tests__|spec|specs)/|(^|/)test_[^/]*$|[._]test\.[^/]+$|[._]spec\.[^/]+$|_test\.[^/]+$|(^|/)conftest\.py$"), "Test")
-        .when(p.rlike(r"\.(md|rst|txt|adoc)$|(^|/)docs?/"), "Document")
-        .when(p.rlike(r"\.(json|ya?ml|toml|ini|cfg|lock)$"), "Config")
-        .otherwise("Source")
-    )
+        F.when(p.rlike(_any(REFERENCE_DIRS, "/", "/")), "Reference").when(p.rlike(_any(EXAMPLE_DIRS, "/", "/")), "Example").when(test, "Test")
+        .when(p.rlike(_any(DOCUMENT_ENDS, after="$")), "Document").when(p.rlike(_any(CONFIG_ENDS, after="$")), "Config").otherwise("Source")
+    )
 
 
 def language(path: Column) -> Column:

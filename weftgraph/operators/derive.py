@@ -129,10 +129,16 @@ def topic_mirrors(topics: DataFrame) -> DataFrame:
 
 
 def saga_pairs(methods: DataFrame, calls: DataFrame) -> DataFrame:
-    """(src, dst, confidence): methods (id, owner, name) to those that undo them; surer where the undoing calls back."""
-    root = F.lower(F.regexp_extract("name", r"^(?i)(?:compensate|undo|rollback|revert)_?(\w+)$", 1))
-    undo = methods.select(F.col("id").alias("dst"), "owner", root.alias("k")).where("k <> ''")
-    pairs = methods.select(F.col("id").alias("src"), "owner", F.lower("name").alias("k")).join(undo, ["owner", "k"])
+    """(src, dst, confidence): methods (id, owner, name) to those that undo them; surer where the undoing calls back.
+
+    A root of undoing in any case is followed by ``_`` and the undone name, or by it with a capital in front.
+    """
+    roots = "^(?i:compensate|undo|rollback)"
+    snake, hump = F.regexp_extract("name", roots + "_(.+)$", 1), F.regexp_extract("name", roots + "([A-Z].*)$", 1)
+    small = F.concat(F.lower(F.substring(hump, 1, 1)), F.substring(hump, 2, 1 << 30))
+    undone = F.when(snake != "", snake).when(F.col("name").rlike("^[A-Z]"), hump).otherwise(small)
+    undo = methods.select(F.col("id").alias("dst"), "owner", undone.alias("k")).where("k <> ''")
+    pairs = methods.select(F.col("id").alias("src"), "owner", F.col("name").alias("k")).join(undo, ["owner", "k"])
     back = calls.select(F.col("src").alias("dst"), F.col("dst").alias("src")).distinct().withColumn("back", F.lit(1))
     return pairs.join(back, ["src", "dst"], "left").select("src", "dst", F.when(F.col("back").isNotNull(), 0.8).otherwise(0.6).alias("confidence"))
 

@@ -55,7 +55,7 @@ def saga_list(nodes: DataFrame, edges: DataFrame, owner: str | None = None, stro
 
 def outbox(nodes: DataFrame, edges: DataFrame, depth: int = 5) -> DataFrame:
     """(table_id, writer_id, publisher_id, confidence): writers of outbox tables from which a publishing call is reached."""
-    tables = nodes.where(F.lower(F.regexp_replace("name", "[^A-Za-z]", "")).rlike("^(outbox|outboxevents?|outboxmessages?|eventoutbox|messageoutbox)$")).select(F.col("id").alias("table_id"), F.col("name").alias("table"))
+    tables = nodes.where(F.lower("name").rlike("^(outbox_?event|event_?outbox|message_?outbox)(s|es)?$")).select(F.col("id").alias("table_id"), F.col("name").alias("table"))
     methods = nodes.join(tables, F.col("owner_class") == F.col("table")).select("table_id", F.col("id").alias("writer_id"), F.lit(0.80).alias("confidence"))
     touching = edges.where(F.col("rel_type") == "References").join(tables, F.col("dst") == F.col("table_id")).select("table_id", F.col("src").alias("writer_id"), F.lit(0.75).alias("confidence"))
     writers = methods.unionByName(touching).groupBy("table_id", "writer_id").agg(F.max("confidence").alias("confidence"))

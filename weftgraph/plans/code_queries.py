@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftgraph.functions import text as X
 from weftgraph.operators import derive, detect, diff, processes
 from weftgraph.plans import model
 from weftgraph.sources.commerce import table
@@ -109,10 +110,17 @@ def rename_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.mentions(lines, "License").select("file_id", F.col("line").cast("long").alias("line"), "context")
 
 
-@query("SELECT doc_id AS id, source || '/' || lang || '/' || doc_id || '.py' AS path FROM documents WHERE lang = 'de' AND doc_id % 100 = 7 ORDER BY path LIMIT 1")
+_PATHS = "source || '/' || lang || '/' || doc_id || CASE doc_id % 4 WHEN 0 THEN '_test.go' WHEN 1 THEN '.ts' WHEN 2 THEN 'Test.java' ELSE '/Dockerfile' END"
+
+
+@query(f"SELECT doc_id AS id, {_PATHS} AS path FROM documents WHERE {_PATHS} LIKE '%/Dockerfile' ORDER BY path LIMIT 1")
 def file_by_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = table(spark, sf_dir, "documents").where("doc_id % 100 = 7 AND lang = 'de'").selectExpr("doc_id AS id", "concat(source, '/', lang, '/', doc_id, '.py') AS path")
-    return detect.file_by_suffix(files, ".py")
+    return detect.file_by_suffix(docs(spark, sf_dir, "doc_id AS id", f"{_PATHS} AS path"), "/Dockerfile")
+
+
+@query("""SELECT doc_id AS id, CASE WHEN lang = 'de' THEN 'Reference' WHEN lang = 'fr' THEN 'Example' WHEN doc_id % 4 IN (0, 2) THEN 'Test' WHEN doc_id % 4 = 1 THEN 'Source' ELSE 'Config' END AS category FROM documents""")
+def file_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docs(spark, sf_dir, "doc_id AS id", f"concat(CASE lang WHEN 'de' THEN 'Vendor/' WHEN 'fr' THEN 'a/demos/' ELSE 'manifest/' END, {_PATHS}) AS path").select("id", X.file_category(F.col("path")).alias("category"))
 
 
 # --- derived edges
@@ -137,11 +145,11 @@ def decorator_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derive.decorates(parts(spark, sf_dir, "p_partkey AS id", "concat('@', p_type, '(x)') AS decorator"), types).select("dst", "name", "confidence")
 
 
-@query("""WITH m AS (SELECT p_partkey AS id, p_brand AS owner, replace(p_name, ' ', '') AS k, p_size % 2 = 0 AS undo FROM part)
-SELECT a.id AS src, b.id AS dst, CASE WHEN a.id % 2 = 0 THEN 0.8 ELSE 0.6 END::DOUBLE AS confidence FROM m a JOIN m b ON a.owner = b.owner AND a.k = b.k AND NOT a.undo AND b.undo""")
+@query("""WITH m AS (SELECT p_partkey AS id, p_brand AS owner, replace(p_name, ' ', '') AS k, p_size % 2 = 0 AND p_size % 3 > 0 AS undo, p_size % 2 = 0 AND p_size % 3 = 0 AS other FROM part)
+SELECT a.id AS src, b.id AS dst, CASE WHEN a.id % 2 = 0 THEN 0.8 ELSE 0.6 END::DOUBLE AS confidence FROM m a JOIN m b ON a.owner = b.owner AND a.k = b.k AND NOT a.undo AND NOT a.other AND b.undo""")
 def saga_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    methods = parts(spark, sf_dir, "p_partkey AS id", "p_brand AS owner", "concat(IF(p_size % 2 = 0, 'undo_', ''), replace(p_name, ' ', '')) AS name")
-    pairs = methods.selectExpr("id AS dst", "owner", "replace(name, 'undo_', '') AS k", "startswith(name, 'undo_') AS u").where("u").join(methods.selectExpr("id AS src", "owner", "name AS k"), ["owner", "k"])
+    methods = parts(spark, sf_dir, "p_partkey AS id", "p_brand AS owner", "concat(IF(p_size % 2 = 0, CASE p_size % 3 WHEN 0 THEN 'undo' WHEN 1 THEN 'undo_' ELSE 'RollBack_' END, ''), replace(p_name, ' ', '')) AS name")
+    pairs = methods.selectExpr("id AS dst", "owner", "regexp_replace(name, '^(undo|RollBack)_', '') AS k", "rlike(name, '^(undo|RollBack)_') AS u").where("u").join(methods.selectExpr("id AS src", "owner", "name AS k"), ["owner", "k"])
     return derive.saga_pairs(methods, pairs.where("src % 2 = 0").selectExpr("dst AS src", "src AS dst"))
 
 

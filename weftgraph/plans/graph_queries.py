@@ -48,7 +48,7 @@ def reach_from_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""SELECT {2 * STEP + 3} AS node, 0 AS depth UNION ALL SELECT {3 * STEP} + c_custkey, 1 FROM customer WHERE c_nationkey = 3
   UNION ALL SELECT {4 * STEP} + s_suppkey, 1 FROM supplier WHERE s_nationkey = 3""")
 def callers_of_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return traverse.callers_of(commerce.graph(spark, sf_dir), 2 * STEP + 3, 1)
+    return traverse.callers_of(commerce.graph(spark, sf_dir), 2 * STEP + 3, 1, limit=None)
 
 
 @query(f"""SELECT {2 * STEP + 3} AS node, 0 AS depth UNION ALL SELECT {STEP} + n_regionkey, 1 FROM nation WHERE n_nationkey = 3""")
@@ -255,12 +255,12 @@ def batch_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- routes and contracts
 
-_PATH = "regexp_replace(regexp_replace(regexp_extract(url, '^https?://[^/]+(/.*)$', 1), '[?#].*$', ''), '^/+|/+$', '', 'g')"
+_PATH = r"regexp_replace(regexp_replace(regexp_extract(url, '^https?://[^/]+(/.*)$', 1), '\?.*$', ''), '^/+|/+$', '', 'g')"
 
 
-@query("SELECT doc_id, lang || '/:*/' || source || '/:*' AS path FROM documents")
+@query("SELECT doc_id, lang || '/:*/' || source || '/:*/:*/x-{y}' AS path FROM documents")
 def route_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = F.concat(F.lit("/"), "lang", F.lit("/{id}/"), "source", F.lit("/:part/?page=2#top"))
+    raw = F.concat(F.lit("/"), "lang", F.lit("/{id}/"), "source", F.lit("/:part/user-${id}/x-{y}/?page=2#top"))
     return table(spark, sf_dir, "documents").select("doc_id", X.route_path(raw).alias("path"))
 
 
@@ -441,9 +441,10 @@ def schema_mirrors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derive.schema_mirrors(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("type"), F.col("p_brand").alias("owner")))
 
 
-@query("SELECT p_partkey, replace(lower(p_name), ' ', '.') || '.created' AS topic FROM part")
+@query("SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN '' WHEN 1 THEN 'staging/http/' ELSE 'prod/' END || replace(lower(p_name), ' ', '/') || CASE p_size % 2 WHEN 0 THEN '/created' ELSE '/http/server/v3' END AS topic FROM part")
 def topic_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = F.concat(F.lit("prod."), F.translate("p_name", " ", "_"), F.lit("-Created.v2"))
+    ends = F.expr("CASE p_size % 2 WHEN 0 THEN '-Created.v2' ELSE ':HTTPServer_v3' END")
+    raw = F.concat(F.expr("CASE p_size % 3 WHEN 0 THEN 'prod.' WHEN 1 THEN 'staging/HTTP.' ELSE 'dev.prod.' END"), F.translate("p_name", " ", "_"), ends)
     return table(spark, sf_dir, "part").select("p_partkey", X.topic(raw).alias("topic"))
 
 

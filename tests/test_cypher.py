@@ -167,3 +167,17 @@ def test_against_a_plain_interpreter(spark):
                         todo.append(t)
         want = sorted(((a, b) for a in name for b, d in depth[a].items() if 2 <= d <= 3), key=repr)
         assert rows(g, f"MATCH (a)-[:{rel}*2..3]->(b) RETURN id(a), id(b)") == want
+
+
+def test_a_filter_comes_before_a_path_of_any_length(spark, data, monkeypatch):
+    """The path starts from the filtered node alone; the result is that of an inline property."""
+    from weftgraph.cypher import compiler
+    from weftgraph.sources import commerce
+
+    seen = []
+    plain = compiler.reach
+    monkeypatch.setattr(compiler, "reach", lambda seeds, *a, **k: seen.append(seeds.distinct().count()) or plain(seeds, *a, **k))
+    g = commerce.graph(spark, data)
+    filtered = compiler.run(g, "MATCH (a)-[:IN_NATION|IN_REGION*1..3]->(b) WHERE a.name = 'Customer#000000007' AND b.kind <> 'Order' RETURN b.name")
+    inline = compiler.run(g, "MATCH (a {name: 'Customer#000000007'})-[:IN_NATION|IN_REGION*1..3]->(b) RETURN b.name")
+    assert seen == [1, 1] and sorted(map(tuple, filtered.collect())) == sorted(map(tuple, inline.collect())) != []

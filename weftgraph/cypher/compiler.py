@@ -54,6 +54,25 @@ def _of(value: object) -> str:
     return kinds.get(type(value), "null")
 
 
+def _conjuncts(x: object) -> list[object]:
+    if x is None:
+        return []
+    return [c for p in x.parts for c in _conjuncts(p)] if isinstance(x, P.Bool) and x.op.upper() == "AND" else [x]
+
+
+def _names(x: object) -> set[str]:
+    """Variables of an expression."""
+    if isinstance(x, P.Var):
+        return {x.name}
+    if isinstance(x, (P.Prop, P.HasLabel)):
+        return {x.var}
+    if isinstance(x, P.Func):
+        return _names(x.arg)
+    if isinstance(x, P.Cmp):
+        return _names(x.left) | _names(x.right)
+    return set().union(*map(_names, x.parts)) if isinstance(x, P.Bool) else set()
+
+
 class _Compiler:
     def __init__(self, graph: PropertyGraph, query: P.Query, strict: bool):
         self.graph, self.query, self.strict = graph, query, strict
@@ -62,6 +81,25 @@ class _Compiler:
         self.needs: dict[str, set[str]] = {}
         self.node_columns = {f.name: _family(f.dataType) for f in graph.nodes.schema.fields}
         self._collect(query)
+        self.early = self._early()
+
+    def _early(self) -> dict[str, list[object]]:
+        """Conjuncts of WHERE by the one variable that they ask for, where a pattern binds it just once.
+
+        They hold for every row that is left in the end, so they may be tested as soon as the variable is bound,
+        before a path of variable length starts from it. WHERE itself is still tested in full after all patterns.
+        """
+        bound: dict[str, int] = {}
+        for clause in self.query.matches:
+            for nodes, rels in clause.patterns:
+                for x in (*nodes, *rels):
+                    bound[x.var] = bound.get(x.var, 0) + (2 if clause.optional and clause is not self.query.matches[0] else 1)
+        out: dict[str, list[object]] = {}
+        for part in _conjuncts(self.query.where):
+            names = _names(part)
+            if len(names) == 1 and bound.get(name := names.pop()) == 1:
+                out.setdefault(name, []).append(part)
+        return out
 
     # --- what each variable is asked for
 
@@ -170,10 +208,18 @@ class _Compiler:
     def pattern(self, prior: DataFrame | None, nodes: list[P.NodePattern], rels: list[P.RelPattern]) -> DataFrame:
         df = self.first(prior, nodes[0])
         self.bind(nodes[0].var, "node")
+        df = self.sifted(df, nodes[0].var)
         for left, rel, right in zip(nodes, rels, nodes[1:], strict=False):
             df = self.expand(df, left.var, rel, right)
             self.bind(rel.var, "edge")
             self.bind(right.var, "node")
+            df = self.sifted(self.sifted(df, rel.var), right.var)
+        return df
+
+    def sifted(self, df: DataFrame, var: str) -> DataFrame:
+        """The rows that may still pass WHERE once ``var`` is bound."""
+        for part in self.early.get(var, ()):
+            df = df.where(self.truth(part, df))
         return df
 
     def bind(self, var: str, kind: str) -> None:
@@ -440,7 +486,7 @@ class _Compiler:
 
 
 def run(graph: PropertyGraph, text: str, strict: bool = False) -> DataFrame:
-    """The result of a query, lazily. ``strict`` makes comma patterns a product, as in the standard language."""
+    """The result of a query, lazily but for paths of variable length, whose levels are written as they are found. ``strict`` makes comma patterns a product, as in the standard language."""
     return _Compiler(graph, P.parse(text), strict).compile()
 
 

@@ -57,7 +57,7 @@ def find(graph, pattern: str, fuzzy: bool = False, everything: bool = False) ->
     """Nodes by name: exact, or fuzzy by substring without test files. By category, then callers, then path."""
     view = graph.node_view({"file_path", "category"})
     hits = view.where(F.col("name").contains(pattern) & (F.coalesce(F.col("category"), F.lit("")) != "Test")) if fuzzy else view.where(F.col("name") == pattern)
-    callers = graph.edges.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("callers"))
+    callers = graph.edges.join(hits.select(F.col("id").alias("dst")), "dst", "left_semi").groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("callers"))
     place = F.coalesce(F.array_position(F.array(*map(F.lit, CATEGORIES)), F.col("category")), F.lit(99))
     out = hits.join(callers, "id", "left").select("id", "name", "kind", "file_path", F.coalesce("callers", F.lit(0)).alias("callers"), place.alias("place"))
     out = out.orderBy("place", F.desc("callers"), "file_path", "id").drop("place")

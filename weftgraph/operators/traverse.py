@@ -6,6 +6,8 @@ and an anti-join with what was seen. State is keyed by (seed, node), so hot seed
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,8 +35,8 @@ def reach(seeds: DataFrame, edges: DataFrame, direction: str = "out", max_depth:
     ways = directed(edges.select("edge_id", "src", "dst", *carry), direction)
     kinds = {f.name: f.dataType for f in edges.schema.fields}
     empty = F.array().cast("array<long>")
-    seen = cut(seeds.select(F.col("seed").cast("long").alias("seed"), F.col("seed").cast("long").alias("node")).distinct().select("seed", "node", F.lit(0).alias("depth"), F.lit(None).cast("long").alias("via"), F.lit(None).cast("long").alias("parent"), empty.alias("turn"), *(F.lit(None).cast(kinds[c]).alias(c) for c in carry)), "reach")
-    frontier, levels, depth = seen, [seen], 0
+    first = cut(seeds.select(F.col("seed").cast("long").alias("seed"), F.col("seed").cast("long").alias("node")).distinct().select("seed", "node", F.lit(0).alias("depth"), F.lit(None).cast("long").alias("via"), F.lit(None).cast("long").alias("parent"), empty.alias("turn"), *(F.lit(None).cast(kinds[c]).alias(c) for c in carry)), "reach")
+    frontier, levels, depth = first, [first], 0
     while max_depth is None or depth < max_depth:
         depth += 1
         turn = F.concat("turn", F.array(F.col("way").cast("long"), F.col("edge_id")))
@@ -42,8 +44,8 @@ def reach(seeds: DataFrame, edges: DataFrame, direction: str = "out", max_depth:
         found = step.groupBy("seed", "next").agg(F.min("how").alias("how")).withColumnRenamed("next", "node")
         if allowed is not None:
             found = found.join(allowed.select(F.col("id").alias("node")), "node", "left_semi")
-        for level in levels:
-            found = found.join(level.select("seed", "node"), ["seed", "node"], "left_anti")
+        seen = reduce(DataFrame.union, (level.select("seed", "node") for level in levels))
+        found = found.join(seen, ["seed", "node"], "left_anti")
         frontier = cut(found.select("seed", "node", F.lit(depth).alias("depth"), F.col("how.via").alias("via"), F.col("how.parent").alias("parent"), F.col("how.turn").alias("turn"), *(F.col(f"how.{c}").alias(c) for c in carry)), "reach")
         if frontier.isEmpty():
             break
@@ -56,17 +58,17 @@ def reach(seeds: DataFrame, edges: DataFrame, direction: str = "out", max_depth:
     return out.select("seed", "node", "depth", "via", "parent", *carry)
 
 
-def callers_of(graph, start: int, max_depth: int, relations: list[str] | None = None, limit: int = 10_000) -> DataFrame:
+def callers_of(graph, start: int, max_depth: int, relations: list[str] | None = None, limit: int | None = 10_000) -> DataFrame:
     """Nodes that reach ``start`` against the edges, with their depths."""
     return _from_one(graph, start, "in", max_depth, relations, limit)
 
 
-def callees_of(graph, start: int, max_depth: int, relations: list[str] | None = None, limit: int = 10_000) -> DataFrame:
+def callees_of(graph, start: int, max_depth: int, relations: list[str] | None = None, limit: int | None = 10_000) -> DataFrame:
     """Nodes that ``start`` reaches along the edges, with their depths."""
     return _from_one(graph, start, "out", max_depth, relations, limit)
 
 
-def _from_one(graph, start: int, direction: str, max_depth: int, relations: list[str] | None, limit: int) -> DataFrame:
+def _from_one(graph, start: int, direction: str, max_depth: int, relations: list[str] | None, limit: int | None) -> DataFrame:
     edges = graph.edges if relations is None else graph.edges.where(F.col("rel_type").isin(relations))
     seed = graph.nodes.sparkSession.range(1).select(F.lit(start).cast("long").alias("seed"))
     return reach(seed, edges, direction, max_depth, limit=limit).select("node", "depth")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.plans.model import Profile, PropertyGraph
+from weftgraph.plans.scratch import cut
 
 PROFILE = Profile(
     ("Region", "Nation", "Customer", "Supplier", "Part", "Order"),
@@ -65,8 +66,30 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
+_stores: dict[tuple, PropertyGraph] = {}
+
+
+def _stamp(spark: SparkSession, sf_dir: str) -> tuple:
+    """Size and time of each table's files: a store of other files is another store."""
+    hadoop, out = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, []
+    for name in TABLES:
+        path = hadoop(f"{sf_dir}/{name}.parquet")
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        out.append((fs.getFileStatus(path).getModificationTime(), fs.getContentSummary(path).getLength()))
+    return tuple(out)
+
+
 def graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
-    return PropertyGraph(nodes(spark, sf_dir), edges(spark, sf_dir), PROFILE)
+    """The graph of the tables, written once for each session to the shared folder, nodes by kind and edges by relation.
+
+    So a scan reads the kinds and relations asked for, and pairs of order lines are made distinct once.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, _stamp(spark, sf_dir))
+    if key not in _stores:
+        stored = lambda df, by: cut(df, "graph", by).select(*df.columns)
+        _stores[key] = PropertyGraph(stored(nodes(spark, sf_dir), "kind"), stored(edges(spark, sf_dir), "rel_type"), PROFILE)
+    return _stores[key]
 
 
 #: The same graph as common table expressions of DuckDB, to hold results against.

@@ -1,16 +1,15 @@
-"""What the corpus operators share: the shared folder, scratch tables, and table readers."""
+"""What the corpus operators share: scratch tables in the shared folder, and table readers."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField
 
+from weftgraph.plans.scratch import shared_dir
+
 #: Upper bound of code points in the size estimate below; sources without statistics report far more.
 UNKNOWN_SIZE = 1 << 50
 
@@ -20,21 +19,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a local one only where none is set and the master is local, as in tests."""
-    conf = spark.sparkContext.getConf()
-    if conf.contains("spark.checkpoint.dir"):
-        return conf.get("spark.checkpoint.dir")
-    master = spark.sparkContext.master
-    if master != "local" and not master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    found = spark.conf.get("spark.weftgraph.scratch", None)
-    if not found:
-        spark.conf.set("spark.weftgraph.scratch", found := tempfile.mkdtemp(prefix="weftgraph-"))
-        atexit.register(shutil.rmtree, found, ignore_errors=True)
-    return found
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again, which cuts its lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -71,6 +71,27 @@ def step_edges(processes: DataFrame) -> DataFrame:
     return processes.select(F.posexplode("steps").alias("p", "src"), F.col("process_id").alias("dst")).select("src", "dst", F.lit("StepInProcess").alias("rel_type"), F.lit(1.0).cast("float").alias("confidence"), F.concat(F.lit("step:"), F.col("p") + 1).alias("reason"))
 
 
+def process_nodes(processes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(process_id, label): a node for each process, labelled by the names of its ends, ``Entry → Terminal``."""
+    name = lambda c: nodes.select(F.col("id").alias(c), F.col("name").alias(f"{c}_name"))
+    ends = processes.select("process_id", F.element_at("steps", 1).alias("entry"), F.element_at("steps", -1).alias("terminal"))
+    return ends.join(name("entry"), "entry").join(name("terminal"), "terminal").select("process_id", F.concat("entry_name", F.lit(" → "), "terminal_name").alias("label"))
+
+
+def listed(processes: DataFrame, community: int | None = None, label: str | None = None, limit: int | None = 50) -> DataFrame:
+    """(process_id, label, process_type, n_steps) of the processes of a community, with a piece of the label in any case; the longest first."""
+    found = processes if community is None else processes.where(F.array_contains("communities", community))
+    found = found if label is None else found.where(F.lower("label").contains(label.lower()))
+    found = found.select("process_id", "label", "process_type", F.size("steps").alias("n_steps")).orderBy(F.desc("n_steps"), "process_id")
+    return found if limit is None else found.limit(limit)
+
+
+def traced(processes: DataFrame, nodes: DataFrame, label: str) -> DataFrame:
+    """(process_id, step, id, name): the steps, from 1, of the processes with a piece of the label."""
+    steps = processes.where(F.lower("label").contains(label.lower())).select("process_id", F.posexplode("steps").alias("p", "id"))
+    return steps.join(nodes.select("id", "name"), "id").select("process_id", (F.col("p") + 1).alias("step"), "id", "name")
+
+
 def processes_containing(processes: DataFrame, nodes: DataFrame) -> DataFrame:
     """(process_id, id, step): the first place of each node in each process, from 1."""
     steps = processes.select("process_id", F.posexplode("steps").alias("p", "id"))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.functions.text import prefix_likeness, reason_fetches, reason_keys, route_path
+from weftgraph.operators.search import bm25_between, words
+from weftgraph.plans.scratch import cut
 
 
 def listed(routes: DataFrame, method: str | None = None) -> DataFrame:
@@ -58,20 +60,57 @@ def excluded(path: F.Column) -> F.Column:
     return F.forall(segments, lambda s: s.rlike(r"^(\{[^}]*\}|:[^/]+|<[^>]*>)$"))
 
 
-def contract_links(contracts: DataFrame, min_score: float = 0.6, candidates: int = 16) -> DataFrame:
-    """Consumers to providers of other repositories: by equal id with confidence 1, the rest by shared words.
+def linkable(contracts: DataFrame, paths: tuple[str, ...] = (), param_only: bool = True) -> DataFrame:
+    """Contracts that take part in links: not those of the listed paths, nor of paths of parameters only."""
+    parts = F.split("contract_id", ":")
+    path = F.rtrim(F.get(parts, 2), F.lit("/"))
+    out = F.coalesce(path.isin([p.rstrip("/") for p in paths]), F.lit(False)) if paths else F.lit(False)
+    out = out | (F.coalesce(excluded(path), F.lit(False)) if param_only else F.lit(False))
+    return contracts.where(~out)
 
-    ``contracts``: (repo, contract_id, role, symbol). Of likely providers the best few are the feature's own limit.
+
+def contract_links(contracts: DataFrame, min_score: float = 0.6, candidates: int = 16, exclude: tuple[str, ...] = ()) -> DataFrame:
+    """Consumers to providers of other repositories: by equal id with confidence 1, the rest by BM25 over the words of ids.
+
+    ``contracts``: (repo, contract_id, role, symbol). Each contract is a document of the index; the ``candidates`` best
+    for a consumer's id are taken, consumers among them, and of these the providers that score ``min_score`` or more.
     """
-    parts = lambda role, n: contracts.where(F.col("role") == role).select(F.col("repo").alias(f"{n}_repo"), F.col("symbol").alias(f"{n}_symbol"), F.col("contract_id").alias(f"{n}_id"))
+    kept = cut(linkable(contracts, exclude), "contracts")
+    parts = lambda role, n: kept.where(F.col("role") == role).select(F.col("repo").alias(f"{n}_repo"), F.col("symbol").alias(f"{n}_symbol"), F.col("contract_id").alias(f"{n}_id"))
     left, right = parts("consumer", "c"), parts("provider", "p")
     same = left.join(right, F.col("c_id") == F.col("p_id")).where("c_repo <> p_repo").select(*left.columns, *right.columns, F.lit(1.0).alias("confidence"), F.lit("exact").alias("match_type"))
     rest = left.join(same.select(*left.columns).distinct(), left.columns, "left_anti")
-    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"[^a-z0-9]+"), lambda w: w != ""))
-    a, b = rest.withColumn("cw", words(F.col("c_id"))), right.withColumn("pw", words(F.col("p_id")))
-    pairs = a.withColumn("w", F.explode("cw")).join(b.withColumn("w", F.explode("pw")), "w").where("c_repo <> p_repo").select(*left.columns, *right.columns, (F.size(F.array_intersect("cw", "pw")) / F.greatest(F.size("cw"), F.size("pw"))).alias("confidence")).distinct().where(F.col("confidence") >= min_score)
-    ranked = pairs.withColumn("r", F.row_number().over(Window.partitionBy(*left.columns).orderBy(F.desc("confidence"), "p_repo", "p_id", "p_symbol"))).where(F.col("r") <= candidates)
-    return same.unionByName(ranked.drop("r").withColumn("match_type", F.lit("bm25")))
+    # Ids are scored once each, however many contracts have them.
+    ids = kept.groupBy(F.col("contract_id").alias("id")).agg(F.count(F.lit(1)).alias("copies"))
+    scores = cut(bm25_between(rest.select(F.col("c_id").alias("query")).distinct(), ids, words), "scores")
+    listed = rest.join(scores.withColumnRenamed("query", "c_id"), "c_id").join(kept.select(F.col("contract_id").alias("id"), F.col("repo").alias("p_repo"), F.col("symbol").alias("p_symbol"), "role"), "id")
+    ranked = listed.withColumn("r", F.row_number().over(Window.partitionBy(*left.columns).orderBy(F.desc(F.round("score", 9)), "p_repo", "id", "p_symbol", "role"))).where(F.col("r") <= candidates)
+    near = ranked.where((F.col("role") == "provider") & (F.col("score") >= min_score) & (F.col("c_repo") != F.col("p_repo")))
+    return same.unionByName(near.select(*left.columns, "p_repo", "p_symbol", F.col("id").alias("p_id"), F.col("score").alias("confidence"), F.lit("bm25").alias("match_type")))
+
+
+def group_impact(local: DataFrame, links: DataFrame, min_confidence: float = 0.0) -> DataFrame:
+    """Links between repositories (c_symbol, p_symbol, confidence, ...) that touch a local symbol (symbol), one step far."""
+    symbols = local.select("symbol").distinct()
+    sure = links.where(F.col("confidence") >= min_confidence)
+    ends = sure.join(symbols.withColumnRenamed("symbol", "c_symbol"), "c_symbol", "left_semi").select(*links.columns)
+    other = sure.join(symbols.withColumnRenamed("symbol", "c_symbol"), "c_symbol", "left_anti").join(symbols.withColumnRenamed("symbol", "p_symbol"), "p_symbol", "left_semi").select(*links.columns)
+    return ends.unionByName(other)
+
+
+def registry(path: str, contracts: DataFrame | None = None, links: DataFrame | None = None, spark=None) -> tuple[DataFrame, DataFrame]:
+    """The contracts and links of a group as stored under ``path``; given ones are written first."""
+    for name, df in (("contracts", contracts), ("links", links)):
+        if df is not None:
+            df.write.mode("overwrite").parquet(f"{path}/{name}")
+    session = spark or contracts.sparkSession
+    return session.read.parquet(f"{path}/contracts"), session.read.parquet(f"{path}/links")
+
+
+def group_summary(members: DataFrame) -> DataFrame:
+    """(repo, nodes, symbols, files) of the nodes (repo, kind) of all members."""
+    symbol = F.col("kind").isin("Function", "Method", "Class", "Interface")
+    return members.groupBy("repo").agg(F.count(F.lit(1)).alias("nodes"), F.count_if(symbol).alias("symbols"), F.count_if(F.col("kind") == "File").alias("files"))
 
 
 def unmatched(contracts: DataFrame, links: DataFrame) -> DataFrame:

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftgraph.functions.text import identifier_tokens
+from weftgraph.plans.scratch import cut
 
 K1, B = 1.2, 0.75
 #: Order in which categories are shown.
@@ -23,18 +28,88 @@ def bm25(rows: DataFrame, key: str, tokens: Column, terms: list[str]) -> DataFra
     sized = listed.select(key, F.size("tokens").alias("size"), F.filter("tokens", lambda t: t.isin(terms)).alias("hits"))
     total = sized.agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("mean"))
     counts = sized.select(key, "size", F.explode("hits").alias("term")).groupBy(key, "size", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return _scored(counts, total, key)
+
+
+#: Folders of a stored index; a term's folder follows from its hash.
+BUCKETS = 64
+
+
+def _bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+def write_postings(rows: DataFrame, key: str, tokens: Column, path: str) -> None:
+    """An inverted index: (term, key, tf, size) in folders by the term's hash, and the number and mean size of the rows."""
+    sized = rows.select(F.col(key).alias("key"), tokens.alias("tokens")).select("key", "tokens", F.size("tokens").alias("size"))
+    counts = sized.select("key", "size", F.explode("tokens").alias("term")).groupBy("key", "size", "term").agg(F.count(F.lit(1)).alias("tf"))
+    counts.withColumn("bucket", _bucket(F.col("term"))).repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    sized.agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("mean")).write.mode("overwrite").parquet(f"{path}/total")
+
+
+def bm25_stored(spark: SparkSession, path: str, terms: list[str], k: int | None = 100) -> DataFrame:
+    """(key, score, total) of the k best rows of a stored index for any of the terms, and how many there are in all; all rows and no total without k.
+
+    Only the folders and row groups of the terms are read.
+    """
+    terms = sorted(set(terms))
+    places = spark.range(1).select(*(_bucket(F.lit(t)).alias(f"t{i}") for i, t in enumerate(terms))).first() if terms else ()  # of the query only
+    held = spark.read.parquet(f"{path}/postings").where(F.col("bucket").isin(sorted(set(places))) & F.col("term").isin(terms)).drop("bucket")
+    scored = _scored(held, spark.read.parquet(f"{path}/total"), "key")
+    if k is None:
+        return scored
+    scored = cut(scored, "scores")
+    total = scored.agg(F.count(F.lit(1)).alias("total"))
+    return scored.orderBy(F.desc("score"), "key").limit(k).crossJoin(F.broadcast(total))  # one row
+
+
+def _idf(n: Column, df: Column) -> Column:
+    return F.log(1 + (n - df + 0.5) / (df + 0.5))
+
+
+def _weight(tf: Column, size: Column, mean: Column) -> Column:
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean))
+
+
+def _scored(counts: DataFrame, total: DataFrame, *by: str) -> DataFrame:
     frequency = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    scored = counts.join(F.broadcast(frequency), "term").crossJoin(F.broadcast(total))  # as many rows as terms; one row
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean")))
-    return scored.groupBy(key).agg(F.sum(weight).alias("score"))
+    joined = counts.join(F.broadcast(frequency), "term").crossJoin(F.broadcast(total))  # as many rows as terms; one row
+    return joined.groupBy(*by).agg(F.sum(_idf(F.col("n"), F.col("df")) * _weight(F.col("tf"), F.col("size"), F.col("mean"))).alias("score"))
+
+
+def bm25_between(queries: DataFrame, texts: DataFrame, tokens: Callable[[Column], Column]) -> DataFrame:
+    """(query, id, score) of all texts (id, copies) that share a term with a query (query); ``tokens`` splits both.
+
+    A text with several copies counts as so many documents. Postings are aggregated by text and term before they meet.
+    """
+    sized = texts.select("id", "copies", tokens(F.col("id")).alias("t")).select("id", "copies", "t", F.size("t").alias("size"))
+    total = sized.agg(F.sum("copies").alias("n"), (F.sum(F.col("copies") * F.col("size")) / F.sum("copies")).alias("mean"))
+    held = sized.select("id", "copies", "size", F.explode("t").alias("term")).groupBy("id", "copies", "size", "term").agg(F.count(F.lit(1)).alias("tf"))
+    frequency = held.groupBy("term").agg(F.sum("copies").alias("df"))
+    asked = queries.select("query", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
+    met = asked.join(held, "term").join(frequency, "term").crossJoin(F.broadcast(total))  # one row
+    return met.groupBy("query", "id").agg(F.sum(_idf(F.col("n"), F.col("df")) * _weight(F.col("tf"), F.col("size"), F.col("mean"))).alias("score"))
+
+
+def merged_hits(hits: list[DataFrame], k: int = 100) -> DataFrame:
+    """The k best of the hits (repo, id, score) of several repositories."""
+    return reduce(DataFrame.unionByName, [h.select("repo", "id", "score") for h in hits]).orderBy(F.desc("score"), "repo", "id").limit(k)
+
+
+def prompt_terms(prompt: str) -> list[str]:
+    """What a prompt asks for: its words that look like identifiers, longer than two letters, each once."""
+    return list(dict.fromkeys(w for w in re.findall(r"[A-Za-z_][A-Za-z0-9_]{2,}", prompt)))
+
+
+def identifier_terms(spark: SparkSession, query: str) -> list[str]:
+    """The terms of a query, split like identifiers."""
+    each = spark.range(1).select(F.explode(F.array_distinct(F.flatten(F.transform(F.split(F.lit(query), r"\s+"), identifier_tokens)))).alias("t"))
+    return [r["t"] for r in each.collect()]  # of the query only
 
 
 def bm25_names(nodes: DataFrame, query: str) -> DataFrame:
     """BM25 over identifier tokens of node names; the query is split in the same way."""
-    spark = nodes.sparkSession
-    terms = spark.range(1).select(F.explode(F.flatten(F.transform(F.split(F.lit(query), r"\s+"), identifier_tokens))).alias("t")).distinct()
-    return bm25(nodes, "id", identifier_tokens(F.col("name")), [r["t"] for r in terms.collect()])  # of the query only
+    return bm25(nodes, "id", identifier_tokens(F.col("name")), identifier_terms(nodes.sparkSession, query))
 
 
 def substring_rank(rows: DataFrame, name: str, needle: str) -> DataFrame:

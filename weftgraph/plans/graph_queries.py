@@ -211,7 +211,8 @@ def bm25_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(", " + _bm25("id", f"SELECT id, {_IDENTIFIER} AS tokens FROM nodes", "'small', 'bolt', 'order'"), graph=True)
 def bm25_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.bm25_names(commerce.graph(spark, sf_dir).nodes, "small bolt order").select("id", F.round("score", 6).alias("score"))
+    found = search.bm25_stored(spark, commerce.name_index(spark, sf_dir), search.identifier_terms(spark, "small bolt order"), k=None)
+    return found.select(F.col("key").alias("id"), F.round("score", 6).alias("score"))
 
 
 @query("SELECT p_partkey, p_name, CASE WHEN lower(p_name) = 'small ring' THEN 1.0 WHEN starts_with(lower(p_name), 'small ring') THEN 0.7 ELSE 0.4 END::DOUBLE AS score FROM part WHERE contains(lower(p_name), 'small ring')")
@@ -283,14 +284,23 @@ def shape_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routes.shape_drift(consumers, shapes)
 
 
-@query("""WITH c AS (SELECT DISTINCT c_mktsegment AS c_repo, c_nationkey AS c_symbol FROM customer), n AS (SELECT 'r' || n_regionkey AS p_repo, n_nationkey AS p_symbol FROM nation)
-SELECT c_repo, c_symbol, p_repo, p_symbol, CASE WHEN c_symbol % 2 = 0 THEN 1.0 ELSE 0.75 END::DOUBLE AS confidence, CASE WHEN c_symbol % 2 = 0 THEN 'exact' ELSE 'bm25' END AS match_type FROM c JOIN n ON c_symbol = p_symbol""")
+@query("""WITH c AS (SELECT DISTINCT c_mktsegment AS repo, c_nationkey AS symbol, 'http:' || CASE WHEN c_nationkey % 2 = 0 THEN 'GET' ELSE 'POST' END || ':/nation_' || c_nationkey AS id, 'consumer' AS role FROM customer),
+x AS (SELECT * FROM c UNION ALL SELECT 'r' || n_regionkey, n_nationkey, 'http:GET:/nation_' || n_nationkey, 'provider' FROM nation),
+d AS (SELECT *, row_number() OVER () AS own, list_filter(regexp_split_to_array(lower(id), '[^a-z0-9]+'), lambda w: w <> '') AS t FROM x),
+total AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM d),
+tf AS (SELECT own, len(t) AS size, term, count(*) AS tf FROM (SELECT own, t, unnest(t) AS term FROM d) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+exact AS (SELECT a.own AS c, b.own AS p FROM d a JOIN d b ON a.id = b.id AND a.role = 'consumer' AND b.role = 'provider' AND a.repo <> b.repo),
+q AS (SELECT own AS c, unnest(list_distinct(t)) AS term FROM d WHERE role = 'consumer' AND own NOT IN (SELECT c FROM exact)),
+s AS (SELECT c, own AS p, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))) AS score FROM q JOIN tf USING (term) JOIN df USING (term), total GROUP BY 1, 2),
+r AS (SELECT s.*, row_number() OVER (PARTITION BY c ORDER BY round(score, 9) DESC, b.repo, b.id, b.symbol, b.role) AS k FROM s JOIN d b ON b.own = p)
+SELECT a.repo AS c_repo, a.symbol AS c_symbol, b.repo AS p_repo, b.symbol AS p_symbol, 1.0::DOUBLE AS confidence, 'exact' AS match_type FROM exact JOIN d a ON a.own = c JOIN d b ON b.own = p
+UNION ALL SELECT a.repo, a.symbol, b.repo, b.symbol, round(score, 9), 'bm25' FROM r JOIN d a ON a.own = c JOIN d b ON b.own = p WHERE k <= 16 AND score >= 0.6 AND b.role = 'provider' AND a.repo <> b.repo""")
 def contract_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     http = lambda verb, key: routes.contract_id("http", verb, F.concat(F.lit("/nation_"), F.col(key)))
     provided = table(spark, sf_dir, "nation").select(F.concat(F.lit("r"), "n_regionkey").alias("repo"), http(F.lit("GET"), "n_nationkey").alias("contract_id"), F.lit("provider").alias("role"), F.col("n_nationkey").alias("symbol"))
     verb = F.when(F.col("c_nationkey") % 2 == 0, "GET").otherwise("POST")
     consumed = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("repo"), http(verb, "c_nationkey").alias("contract_id"), F.lit("consumer").alias("role"), F.col("c_nationkey").alias("symbol")).distinct()
-    return routes.contract_links(provided.unionByName(consumed)).select("c_repo", "c_symbol", "p_repo", "p_symbol", "confidence", "match_type")
+    return routes.contract_links(provided.unionByName(consumed)).select("c_repo", "c_symbol", "p_repo", "p_symbol", F.round("confidence", 9).alias("confidence"), "match_type")
 
 
 @query("""SELECT path, round(s, 9) AS score FROM (SELECT n_name AS path, (SELECT count(*) FROM range(1, least(length(n_name), 9) + 1) r(k) WHERE n_name[1:k] = 'NATION_2X'[1:k]) / greatest(length(n_name), 9)::DOUBLE AS s FROM nation) WHERE s > 0 ORDER BY s DESC, path LIMIT 5""")

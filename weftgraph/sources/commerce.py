@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftgraph.functions.text import identifier_tokens
+from weftgraph.operators.search import write_postings
 from weftgraph.plans.model import Profile, PropertyGraph
-from weftgraph.plans.scratch import cut
+from weftgraph.plans.scratch import cut, shared_dir
 
 PROFILE = Profile(
     ("Region", "Nation", "Customer", "Supplier", "Part", "Order"),
@@ -67,7 +70,7 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
-_stores: dict[tuple, PropertyGraph] = {}
+_stores: dict = {}
 
 
 def _stamp(spark: SparkSession, sf_dir: str) -> tuple:
@@ -92,6 +95,16 @@ def graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     return _stores[key]
 
 
+def name_index(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of an inverted index of the nodes' names, written once for each session."""
+    key = (spark.sparkContext.applicationId, sf_dir, _stamp(spark, sf_dir), "names")
+    if key not in _stores:
+        path = f"{shared_dir(spark).rstrip('/')}/names-{uuid.uuid4().hex}"
+        write_postings(graph(spark, sf_dir).nodes, "id", identifier_tokens(F.col("name")), path)
+        _stores[key] = path
+    return _stores[key]
+
+
 #: The same graph as common table expressions of DuckDB, to hold results against.
 SQL = f"""
 nodes AS (

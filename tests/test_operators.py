@@ -85,6 +85,19 @@ def test_communities_find_triangles(spark):
     assert processes.modularity(g.edges, found).first()["q"] > 0.3
 
 
+def test_communities_are_split_into_connected_parts(spark):
+    links = spark.createDataFrame([(a, b) for x, y in [(1, 2), (2, 3), (5, 6), (6, 7), (7, 8), (8, 9), (3, 5)] for a, b in ((x, y), (y, x))], "a long, b long")
+    placed = spark.createDataFrame([(i, 1 if i < 4 or i > 5 else 2) for i in (1, 2, 3, 5, 6, 7, 8, 9, 20)], "id long, c long")
+    assert sorted(got(processes.split(links, placed), "id", "part")) == [(1, 1), (2, 1), (3, 1), (5, 5), (6, 6), (7, 6), (8, 6), (9, 6), (20, 20)]
+
+
+def test_large_graphs_are_thinned(spark, monkeypatch):
+    monkeypatch.setattr(processes, "LARGE", 3)
+    g = small(spark, [(i, str(i), "Function", None, 0, 1) for i in (1, 2, 3, 4)], [(1, 2, "Calls", 1.0), (2, 3, "Calls", 1.0), (3, 1, "Calls", 0.9), (3, 4, "Calls", 0.9), (4, 1, "Calls", 0.1)])
+    nodes, edges = processes.thinned(g.nodes, g.edges)
+    assert got(nodes, "id") == [(1,), (2,), (3,)] and edges.count() == 3
+
+
 def test_process_pieces(spark):
     t = spark.createDataFrame([(1, [1, 2, 3, 4]), (1, [2, 3, 4]), (1, [1, 5, 4]), (9, [9, 8, 7])], "entry long, steps array<long>")
     whole = processes.distinct_traces(t)

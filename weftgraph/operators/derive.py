@@ -8,32 +8,53 @@ from pyspark.sql import functions as F
 from weftgraph.functions.text import topic
 
 #: Tiers of resolution with their confidence, tried in this order.
-TIERS = (("same_file", 1.0), ("import", 0.95), ("qualifier", 0.85), ("heritage", 0.8), ("unique_global", 0.7))
+TIERS = (("same_file", 1.0), ("import", 0.95), ("qualifier", 0.85), ("module_tree", 1.0), ("heritage", 0.8), ("unique_global", 0.7))
 CALLABLE = ("Function", "Method", "Constructor")
+TYPES = ("Class", "Interface", "Struct", "Enum", "Typedef", "Trait")
+#: Kinds of node that a reference of each target may mean.
+TARGETS = {"callable": CALLABLE, "type": TYPES, "qualifier": (*TYPES, "Module", "Namespace"), "field": ("Property",)}
+
+
+def unique_global(symbols: DataFrame) -> DataFrame:
+    """(s_name, s_language, target, vendor, id): the only symbol that a name means to callers of a language.
+
+    ``target`` is null for all kinds alike. To callers outside vendored code (vendor false) vendored symbols do not count.
+    """
+    whole = F.array(F.lit(None).cast("string"))
+    targets = F.filter(F.array(*(F.when(F.col("s_kind").isin(*kinds), F.lit(t)) for t, kinds in TARGETS.items())), lambda t: t.isNotNull())
+    seen = F.when(F.col("s_vendor"), F.array(F.lit(True))).otherwise(F.array(F.lit(True), F.lit(False)))
+    every = symbols.withColumn("target", F.explode(F.concat(whole, targets))).withColumn("vendor", F.explode(seen))
+    # A name that is common in its language is never unique, so only unique ones go on.
+    return every.groupBy("s_name", "s_language", "target", "vendor").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).where("n = 1").drop("n")
 
 
 def resolve(refs: DataFrame, symbols: DataFrame, imports: DataFrame | None = None, heritage: DataFrame | None = None) -> DataFrame:
     """(ref_id, id, tier, confidence): each reference at its first tier with exactly one candidate; the others get no edge.
 
-    ``refs``: (ref_id, file_id, name, qualifier, owner, language); ``symbols``: (id, file_id, name, owner, language);
-    ``imports``: (file_id, name, target_file); ``heritage``: (owner, parent). One union of candidates, one aggregation.
+    ``refs``: (ref_id, file_id, name, qualifier, owner, language), and where known module, target, is_vendor;
+    ``symbols``: (id, file_id, name, owner, language), and where known module, kind, is_vendor; ``imports``: (file_id,
+    name, target_file); ``heritage``: (owner, parent). One union of candidates, one aggregation.
     """
-    r, s = refs, symbols.select("id", F.col("file_id").alias("s_file"), F.col("name").alias("s_name"), F.col("owner").alias("s_owner"), F.col("language").alias("s_language"))
+    known = lambda df, name, kind, other=None: F.coalesce(F.col(name), F.lit(other)) if name in df.columns else F.lit(other).cast(kind)
+    r = refs.withColumns({"target": known(refs, "target", "string"), "vendor": known(refs, "is_vendor", "boolean", False)})
+    s = symbols.select("id", F.col("file_id").alias("s_file"), F.col("name").alias("s_name"), F.col("owner").alias("s_owner"), F.col("language").alias("s_language"), known(symbols, "kind", "string").alias("s_kind"), known(symbols, "is_vendor", "boolean", False).alias("s_vendor"), known(symbols, "module", "string").alias("s_module"))
+    place = {name: k for k, (name, _) in enumerate(TIERS)}
 
-    def tier(df: DataFrame, k: int) -> DataFrame:
-        return df.select("ref_id", "id", F.lit(k).alias("tier"))
+    def tier(df: DataFrame, name: str) -> DataFrame:
+        return df.select("ref_id", "id", F.lit(place[name]).alias("tier"))
 
-    found = [tier(r.join(s, (F.col("file_id") == F.col("s_file")) & (F.col("name") == F.col("s_name"))), 0)]
+    found = [tier(r.join(s, (F.col("file_id") == F.col("s_file")) & (F.col("name") == F.col("s_name"))), "same_file")]
     if imports is not None:
         via = r.join(imports.select("file_id", "name", "target_file"), ["file_id", "name"])
-        found.append(tier(via.join(s, (F.col("target_file") == F.col("s_file")) & (F.col("name") == F.col("s_name"))), 1))
-    found.append(tier(r.join(s, (F.col("qualifier") == F.col("s_owner")) & (F.col("name") == F.col("s_name"))), 2))
+        found.append(tier(via.join(s, (F.col("target_file") == F.col("s_file")) & (F.col("name") == F.col("s_name"))), "import"))
+    found.append(tier(r.join(s, (F.col("qualifier") == F.col("s_owner")) & (F.col("name") == F.col("s_name"))), "qualifier"))
+    if "module" in refs.columns:
+        found.append(tier(r.join(s, (F.col("module") == F.col("s_module")) & (F.col("name") == F.col("s_name"))), "module_tree"))
     if heritage is not None:
         parents = r.join(heritage, "owner")
-        found.append(tier(parents.join(s, (F.col("parent") == F.col("s_owner")) & (F.col("name") == F.col("s_name"))), 3))
-    # A name that is common in its language is never unique, so only unique ones are joined at all.
-    unique = s.groupBy("s_name", "s_language").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).where("n = 1")
-    found.append(tier(r.join(unique, (F.col("name") == F.col("s_name")) & (F.col("language") == F.col("s_language"))), 4))
+        found.append(tier(parents.join(s, (F.col("parent") == F.col("s_owner")) & (F.col("name") == F.col("s_name"))), "heritage"))
+    only = unique_global(s).withColumnRenamed("target", "u_target").withColumnRenamed("vendor", "u_vendor")
+    found.append(tier(r.join(only, (F.col("name") == F.col("s_name")) & (F.col("language") == F.col("s_language")) & F.col("target").eqNullSafe(F.col("u_target")) & (F.col("vendor") == F.col("u_vendor"))), "unique_global"))
     every = found[0]
     for f in found[1:]:
         every = every.unionByName(f)

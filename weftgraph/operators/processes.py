@@ -109,11 +109,45 @@ def modularity(edges: DataFrame, communities: DataFrame) -> DataFrame:
     return sums.agg(F.sum("inner").alias("inner"), F.sum(F.col("deg") * F.col("deg")).alias("squares"), F.sum("deg").alias("d")).select((F.col("inner") / (F.col("d") / 2) - F.col("squares") / (F.col("d") * F.col("d"))).alias("q"))
 
 
-def communities(nodes: DataFrame, edges: DataFrame, passes: int = 3, rounds: int = 8, min_gain: float = 1e-7) -> DataFrame:
-    """(id, community_id) by local moves for modularity, then aggregation of the communities, a few passes.
+#: Nodes beyond which a graph loses its unsure edges and loose ends before communities are sought.
+LARGE = 10_000
+
+
+def thinned(nodes: DataFrame, edges: DataFrame, min_confidence: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """A large graph without edges below ``min_confidence`` and nodes of one edge; a small one as it is."""
+    if nodes.limit(LARGE + 1).count() <= LARGE:
+        return nodes, edges
+    sure = cut(edges.where(F.col("confidence") >= min_confidence), "sure")
+    ends = sure.where("src <> dst").select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    kept = cut(nodes.join(ends.select("id"), "id", "left_semi"), "kept")
+    inside = sure.join(kept.select(F.col("id").alias("src")), "src", "left_semi").join(kept.select(F.col("id").alias("dst")), "dst", "left_semi")
+    return kept, inside
+
+
+def split(links: DataFrame, placed: DataFrame) -> DataFrame:
+    """(id, part): the connected parts of each community (id, c), named by their smallest id; ``links`` (a, b) go both ways.
+
+    Each round takes the least name of the neighbours, then the name of that name, so long chains shorten by halves.
+    """
+    ends = links.select("a", "b").join(placed.select(F.col("id").alias("a"), F.col("c").alias("ca")), "a").join(placed.select(F.col("id").alias("b"), F.col("c").alias("cb")), "b")
+    inside = cut(ends.where("ca = cb").select("a", "b"), "inside")
+    parts = cut(placed.select("id", F.col("id").alias("part")), "parts")
+    while True:
+        near = inside.join(parts.select(F.col("id").alias("b"), "part"), "b").groupBy(F.col("a").alias("id")).agg(F.min("part").alias("near"))
+        least = parts.join(near, "id", "left").select("id", "part", F.least("part", F.coalesce("near", "part")).alias("least"))
+        further = least.join(parts.select(F.col("id").alias("least"), F.col("part").alias("hop")), "least").select("id", "part", F.least("least", "hop").alias("next"))
+        following = cut(further, "parts")
+        if following.where("next <> part").isEmpty():
+            return following.select("id", F.col("next").alias("part"))
+        parts = following.select("id", F.col("next").alias("part"))
+
+
+def communities(nodes: DataFrame, edges: DataFrame, passes: int = 3, rounds: int = 64, min_gain: float = 1e-7) -> DataFrame:
+    """(id, community_id) by local moves for modularity, refinement and aggregation, a few passes.
 
     Moves are synchronous: in each round half of the nodes, by a hash of the round, go to the neighbouring community
-    of most gain. Each pass ends with the weights summed between communities, which become the nodes of the next.
+    of most gain, until no node moves. Then each community is split into its connected parts, which are the nodes of the
+    next pass, with the weights summed between them; so every community is connected.
     """
     both = edges.where(F.col("src") != F.col("dst")).select(F.explode(F.array(F.struct(F.col("src").alias("a"), F.col("dst").alias("b")), F.struct(F.col("dst").alias("a"), F.col("src").alias("b")))).alias("x"), F.col("confidence").cast("double").alias("w")).select("x.a", "x.b", "w")
     links = cut(both.groupBy("a", "b").agg(F.sum("w").alias("w")), "links")
@@ -125,7 +159,7 @@ def communities(nodes: DataFrame, edges: DataFrame, passes: int = 3, rounds: int
         level = cut(super_links.groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("w").alias("w")).where("a <> b"), "level")
         k = cut(degree.join(placed, "id").groupBy(F.col("community_id").alias("id")).agg(F.sum("k").alias("k")), "level-degrees")
         now = cut(k.select("id", F.col("id").alias("c")), "moves")
-        moved = False
+        moved, still = False, 0
         for step in range(rounds):
             mass = now.join(k, "id").groupBy("c").agg(F.sum("k").alias("mass"))
             to = level.join(now.select(F.col("id").alias("b"), "c"), "b").groupBy(F.col("a").alias("id"), "c").agg(F.sum("w").alias("w"))
@@ -138,9 +172,11 @@ def communities(nodes: DataFrame, edges: DataFrame, passes: int = 3, rounds: int
             following = cut(stay.join(best, "id", "left").select("id", F.when(goes, F.col("best")).otherwise(F.col("own")).alias("c"), F.coalesce(goes, F.lit(False)).alias("moved")), "moves")
             changed = not following.where("moved").isEmpty()
             moved, now = moved or changed, following.select("id", "c")
-            if not changed and step % 2:
+            still = 0 if changed else still + 1
+            if still == 4:  # each node had its turn, but for one in sixteen
                 break
         if not moved:
             break
+        now = split(level, now).withColumnRenamed("part", "c")
         placed = cut(placed.join(now.select(F.col("id").alias("community_id"), "c"), "community_id", "left").select("id", F.coalesce("c", "community_id").alias("community_id")), "communities")
     return placed

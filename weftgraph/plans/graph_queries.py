@@ -440,6 +440,35 @@ def resolve_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derive.resolve(refs, symbols)
 
 
+@query("""WITH s AS (SELECT p_partkey AS id, p_size AS f, p_name || p_partkey % 40 AS name, p_brand AS own, CASE p_size % 4 WHEN 0 THEN 'Method' WHEN 1 THEN 'Class' WHEN 2 THEN 'Property' ELSE 'Import' END AS kind, p_size % 5 = 0 AS vendor, p_type AS module FROM part),
+r AS (SELECT id AS ref_id, f + 1 AS f, name, own, CASE id % 3 WHEN 0 THEN 'callable' WHEN 1 THEN 'type' END AS target, id % 7 = 0 AS vendor, CASE WHEN id % 11 = 0 THEN module END AS module FROM s),
+c AS (SELECT ref_id, s.id, 0 AS tier FROM r JOIN s USING (f, name)
+  UNION SELECT ref_id, s.id, 1 FROM r JOIN s ON s.f = r.f + 3 AND s.name = r.name AND r.f % 4 = 0
+  UNION SELECT ref_id, s.id, 3 FROM r JOIN s ON s.module = r.module AND s.name = r.name
+  UNION SELECT ref_id, s.id, 4 FROM r JOIN s ON s.own = 'Brand#' || (CAST(replace(r.own, 'Brand#', '') AS INTEGER) + 1) AND s.name = r.name
+  UNION SELECT ref_id, s.id, 5 FROM r JOIN s ON s.name = r.name AND (r.vendor OR NOT s.vendor) AND (r.target IS NULL OR r.target = 'callable' AND s.kind = 'Method' OR r.target = 'type' AND s.kind = 'Class')),
+u AS (SELECT ref_id, tier, min(id) AS id FROM c GROUP BY 1, 2 HAVING count(DISTINCT id) = 1)
+SELECT ref_id, arg_min(id, tier) AS id, ['same_file', 'import', 'qualifier', 'module_tree', 'heritage', 'unique_global'][min(tier) + 1] AS tier FROM u GROUP BY 1""")
+def resolve_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All tiers, kinds and the barrier around vendored code."""
+    part = table(spark, sf_dir, "part")
+    name = "concat(p_name, p_partkey % 40) AS name"
+    symbols = part.selectExpr("p_partkey AS id", "p_size AS file_id", name, "p_brand AS owner", "'x' AS language", "CASE p_size % 4 WHEN 0 THEN 'Method' WHEN 1 THEN 'Class' WHEN 2 THEN 'Property' ELSE 'Import' END AS kind", "p_size % 5 = 0 AS is_vendor", "p_type AS module")
+    refs = part.selectExpr("p_partkey AS ref_id", "p_size + 1 AS file_id", name, "CAST(NULL AS STRING) AS qualifier", "p_brand AS owner", "'x' AS language", "CASE p_partkey % 3 WHEN 0 THEN 'callable' WHEN 1 THEN 'type' END AS target", "p_partkey % 7 = 0 AS is_vendor", "IF(p_partkey % 11 = 0, p_type, NULL) AS module")
+    imports = refs.where("file_id % 4 = 0").selectExpr("file_id", "name", "file_id + 3 AS target_file").distinct()
+    heritage = part.selectExpr("p_brand AS owner", "concat('Brand#', CAST(replace(p_brand, 'Brand#', '') AS INT) + 1) AS parent").distinct()
+    return derive.resolve(refs, symbols, imports, heritage).select("ref_id", "id", "tier")
+
+
+@query("SELECT n_nationkey, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) + (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS n FROM nation")
+def community_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many customers and suppliers lie in the community of their own nation: all of them."""
+    found = communities(spark, sf_dir)
+    c = lambda name: found.select(F.col("id").alias(name), F.col("community_id").alias(f"{name}_c"))
+    edges = commerce.graph(spark, sf_dir).edges.where("rel_type = 'IN_NATION'")
+    return edges.join(c("src"), "src").join(c("dst"), "dst").where("src_c = dst_c").groupBy((F.col("dst") - 2 * STEP).cast("int").alias("n_nationkey")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("SELECT l_orderkey AS ref_id, l_partkey AS dst, round(greatest(0.9 / sqrt(count(*) OVER (PARTITION BY l_orderkey)), 0.1), 9) AS confidence FROM lineitem")
 def fan_out_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = derive.fan_out(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("ref_id"), F.col("l_partkey").alias("dst")), 0.9)

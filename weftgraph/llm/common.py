@@ -12,6 +12,8 @@ from weftgraph.plans.scratch import shared_dir
 
 #: Upper bound of code points in the size estimate below; sources without statistics report far more.
 UNKNOWN_SIZE = 1 << 50
+#: Stands for a null doc_id where rows are joined or ordered.
+NO_ID = (1 << 63) - 1
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

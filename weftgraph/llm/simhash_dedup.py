@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import fresh, n_rows, partitions_for, row_key, written
+from weftgraph.llm.common import NO_ID, fresh, n_rows, partitions_for, row_key, written
 from weftgraph.llm.components import components
 
 SEED = 42
@@ -33,7 +33,6 @@ BITS = 2
 #: Distinct fingerprints under one variant beyond which two-bit variants take over.
 CROWD = 128
 _CHUNK = 1 << 16
-NO_ID = (1 << 63) - 1
 
 
 def fingerprint(text: bytes, words: int = WORDS) -> int:

@@ -25,7 +25,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import fresh, row_key, written
+from weftgraph.llm.common import NO_ID, fresh, row_key, written
 
 #: Documents of a block of the permutation, on average, and tokens of a block of the mixture.
 BLOCK_ROWS = 4096
@@ -127,10 +127,12 @@ def mix(docs: DataFrame, entropy: float | None = 0.95, repeats: float | None = 4
 def mixed_documents(docs: DataFrame, entropy: float | None = None, repeats: float | None = 2.0, seed: int = SEED) -> DataFrame:
     """The rows of ``docs`` as often as the mixture draws them, every row at least once."""
     own, key, times, row = (fresh(docs, x) for x in ("mix_id", "mix_key", "mix_copies", "mix_row"))
+    # Plain equalities of the same columns on both sides, so that the rows are dealt out once.
+    number = lambda df: F.coalesce(df["doc_id"].cast("long"), F.lit(NO_ID))
     # A row's copies are counted by blocks of the mixture, so no task makes more of them than a block holds.
     drawn = mix(docs, entropy, repeats, cover=True, seed=seed)
-    copies = drawn.groupBy(F.col("doc_id").alias("id"), F.col("row_key").alias("key"), "mix_block").agg(F.count(F.lit(1)).alias("n")).drop("mix_block")
+    copies = drawn.groupBy(number(drawn).alias(own), F.col("row_key").alias(key), "mix_block").agg(F.count(F.lit(1)).alias("n")).drop("mix_block")
     # Repeated rows share both keys; one of them stands for all, chosen before the shuffle as well as after it.
-    rows = docs.groupBy(docs["doc_id"].cast("long").alias(own), row_key(docs).alias(key)).agg(F.first(F.struct(*docs.columns)).alias(row))
-    found = rows.join(copies, rows[own].eqNullSafe(copies["id"]) & (rows[key] == copies["key"]))
+    rows = docs.groupBy(number(docs).alias(own), row_key(docs).alias(key)).agg(F.first(F.struct(*docs.columns)).alias(row))
+    found = rows.join(copies, [own, key])
     return found.select(row, F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias(times)).select(f"{row}.*")

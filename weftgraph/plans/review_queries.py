@@ -175,6 +175,18 @@ def stored_index_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy(F.round("score", 6).alias("score"), "total").agg(F.count(F.lit(1)).alias("n")).select("score", "n", "total")
 
 
+@query(f""", d AS (SELECT id, {_IDENTIFIER} AS tokens FROM nodes), total AS (SELECT count(*) AS n, avg(len(tokens)) AS mean FROM d),
+tf AS (SELECT id, size, term, count(*) AS tf FROM (SELECT id, len(tokens) AS size, unnest(tokens) AS term FROM d) WHERE term IN ('where', 'supplier', 'supplier_7', '7') GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+s AS (SELECT id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))), 6) AS score FROM tf JOIN df USING (term), total GROUP BY id)
+SELECT score, count(*) AS n FROM (SELECT score FROM s ORDER BY score DESC, id LIMIT 5) GROUP BY 1""", graph=True)
+def prompt_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scores of the five best nodes for the identifiers of a prompt."""
+    asked = " ".join(search.prompt_terms("Where is Supplier_7 ?"))
+    found = search.bm25_stored(spark, commerce.name_index(spark, sf_dir), search.identifier_terms(spark, asked), k=5)
+    return found.groupBy(F.round("score", 6).alias("score")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("SELECT p_partkey AS id FROM part WHERE p_name IN (SELECT min(p_name) FROM part)")
 def find_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = commerce.graph(spark, sf_dir)

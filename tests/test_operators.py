@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from weftgraph.plans import graph_queries
 from weftgraph.functions import text as X
-from weftgraph.operators import derive, detect, diff, processes, routes, search, telemetry, traverse
+from weftgraph.operators import derive, detect, diff, processes, routes, search, telemetry, tools, traverse
 from weftgraph.plans.model import EDGES, FILES, NODES, PropertyGraph
 from weftgraph.sources import code, logs
 from weftgraph.streaming import inbox
@@ -115,14 +115,74 @@ def test_detectors(spark):
     assert got(detect.event_mirrors(g.nodes, g.edges, "O*"), "topic", "mirror", "publisher", "subscriber") == [("Order", "Ship", 3, 4)]
     assert got(detect.saga_list(g.nodes, g.edges, "Svc"), "action", "compensation", "tier") == [("pay", "undo_pay", "strong")]
     assert got(detect.outbox(g.nodes, g.edges), "table_id", "writer_id", "publisher_id", "confidence") == [(7, 8, 3, 0.8)]
-    lines = spark.createDataFrame([(1, 1, "x = pay(1)"), (1, 2, "# pay here"), (1, 3, "payment()"), (1, 4, "s = 'do pay'")], "file_id long, line int, text string")
-    assert got(detect.mentions(lines, "pay"), "line", "context") == [(1, "code"), (2, "comment"), (4, "string")]
+    lines = spark.createDataFrame([("a/tests/x.py", 1, "x = pay(1)"), ("a.md", 2, "# pay here"), ("a.py", 3, "payment()"), ("a.py", 4, "s = 'do pay'"), ("a_test.go", 5, "pay"), ("a.yml", 6, "pay: 1"), ("a.py", 7, "épay")], "path string, line int, text string")
+    assert got(detect.mentions(lines, "pay"), "line", "context") == [(1, "test"), (2, "markdown"), (4, "code"), (5, "test"), (6, "data")]
     lit = spark.createDataFrame([("session_meta.json", "d", "json", "read"), ("session-meta.json", "d", "json", "write"), ("other.json", "d", "json", "write"), ("session_meta.json", "e", "json", "write")], "literal string, directory string, extension string, access string")
     assert got(detect.literal_pairs(lit), "read", "written") == [("session_meta.json", "session-meta.json")]
     both = spark.createDataFrame([("T", "Class"), ("T", "Impl"), ("U", "Impl")], "name string, kind string")
     assert got(detect.without_impls(both), "name", "kind", "suppressed") == [("T", "Class", 1), ("U", "Impl", 0)]
 
 
+def test_verdicts_of_a_resolver(spark):
+    e = spark.createDataFrame([("a", "./x.d.ts"), ("b", "y/index.ts"), ("c", "z.ts"), ("d", None), ("e", None), ("f", "q.ts"), ("g", "q.ts")], "key string, target string")
+    d = [("a", "x.js", "Global", 2), ("a", "w.js", "AmbiguousGlobal", 0), ("b", "y.tsx", "ImportScoped", 0), ("c", "other.ts", "SameFile", 0), ("d", "n.ts", "Global", 0), ("e", None, "Unresolved", 0), ("f", None, "Unresolved", 0), ("h", "k", "SameFile", 0), ("i", "k", "Global", 0)]
+    decided = spark.createDataFrame(d, "key string, target string, tier string, alt_count int")
+    assert got(detect.verify(e, decided, "typescript"), "tier", "verdict", "n") == sorted([("Global", "TP", 1), ("Global", "demoted", 1), ("Global", "FP_overmatch", 1), ("ImportScoped", "TP", 1), ("SameFile", "FP_ghost", 1), ("Global", "FP_ghost", 1), ("Unresolved", "FN", 1), (None, "expected_only", 1), ("SameFile", "decided_same_file", 1), ("Global", "decided_other", 1)], key=repr)
+    paths = spark.createDataFrame([("a/b.d.ts", "typescript"), ("p/__init__.py", "python"), ("c\\m/mod.rs", "rust")], "p string, l string")
+    assert [r[0] for x in ("typescript", "python", "rust") for r in paths.where(F.col("l") == x).select(detect.module_path(F.col("p"), x)).collect()] == ["a/b", "p", "c/m"]
+
+
+def test_renames_and_areas(spark):
+    g = small(spark, [(1, "pay", "Function", None, 0, 1), (2, "pay", "Method", "Svc", 0, 1), (4, "a", "Function", None, 0, 1), (5, "b", "Function", None, 0, 1)], [(4, 1, "Calls", 1.0), (5, 1, "MirrorsField", 1.0), (1, 4, "MirrorsField", 1.0), (5, 2, "Calls", 1.0)])
+    bare, owned = detect.rename_targets(g.nodes, "pay"), detect.rename_targets(g.nodes, "Svc.pay")
+    assert got(bare, "id") == [(1,)] and got(owned, "id") == [(2,)]
+    assert got(detect.rename_files(g, bare), "file_id", "edges") == [(0, 1), (1, 0)]
+    assert got(detect.rename_guesses(g, bare), "name", "n") == [("a", 1), ("b", 1)]
+    p = spark.createDataFrame([(1, "docs/a"), (1, "x.md"), (2, "docs/a"), (2, "src/x"), (3, "src/x")], "c long, path string")
+    assert got(detect.areas(p, "c", "path", {"^docs/": "docs", "md$": "docs"}), "c", "area") == [(1, "docs"), (2, None), (3, None)]
+    names = spark.createDataFrame([(1, "<anonymous:3>"), (2, "<anonymous:3>"), (1, "f"), (2, "f")], "c long, s string")
+    assert got(detect.conflicts(names, "c", "s"), "a", "b", "common") == [(1, 2, 1)]
+
+
+def test_tools(spark):
+    files = spark.createDataFrame([(1, "a.ts"), (2, "b.py"), (3, "c.go"), (4, "d.rs"), (5, "tests/e.py"), (6, "f.py")], "file_id long, path string")
+    texts = {
+        1: ["import axios, { get as g } from 'axios/lib';", "import * as pgx from \"pg\";", "const { a: b, c } = require('redis');", "let q = require(\"bull\")", "axios.get(axios.x, xaxios.y, g(1), g, fetch(u))", "pgx.Client(); b.c; c(); q()"],
+        2: ["import os, requests as r, boto3", "from sqlalchemy import a as b, c", "import urllib.request", "r.get(1); boto3.client; b(); c.d; os.x; requests.get", "urllib.request.open", "from redis import r"],
+        3: ["import (", "\t\"net/http\"", "db \"sqlx/v2\"", ")", "http.Get(db.Open)"],
+        4: ["use reqwest::Client as C;", "use redis::{aio::Conn, Cmd as K};", "use hyper;", "C::new(); C.x; Conn(); K.y; hyper.z"],
+        5: ["import requests", "requests.get()"],
+        6: ["requests.get()", "fetch()"],
+    }
+    lines = spark.createDataFrame([(f, k, t) for f, rows in texts.items() for k, t in enumerate(rows)], "file_id long, line int, text string")
+    found = {(r.file_id, r.callee, r.package, r.category) for r in tools.uses(lines, files).collect()}
+    assert found == {
+        (1, "axios.get", "axios/lib", "http"), (1, "axios.x", "axios/lib", "http"), (1, "g", "axios/lib", "http"), (1, "fetch", "fetch", "http"), (1, "pgx.Client", "pg", "db"), (1, "b.c", "redis", "redis"), (1, "c", "redis", "redis"), (1, "q", "bull", "queue"),
+        (2, "r.get", "redis", "redis"), (2, "boto3.client", "boto3", "queue"), (2, "b", "sqlalchemy", "db"), (2, "c.d", "sqlalchemy", "db"), (2, "urllib.request.open", "urllib.request", "http"),
+        (3, "http.Get", "net/http", "http"), (3, "db.Open", "sqlx/v2", "db"),
+        (4, "C.x", "reqwest", "http"), (4, "Conn", "redis", "redis"), (4, "K.y", "redis", "redis"), (4, "hyper.z", "hyper", "http"),
+    }
+    assert {r.category for r in tools.uses(lines, files, ("db",)).collect()} == {"db"}
+    with pytest.raises(ValueError):
+        tools.uses(lines, files, ("mail",))
+
+
+def test_import_steps(spark):
+    files = spark.createDataFrame([("inc/lib/alpha.hpp", 1), ("src/pkg.go", 2), ("src/store.rs", 3), ("Models/Order.cs", 4), ("Models/Order.vb", 5), ("Twice/a.cs", 6), ("Twice/b.cs", 7), ("x/util.h", 8), ("y/util.h", 9), ("src/near.rb", 10)], "path string, node_id long")
+    asked = [(1, "m.cpp", "<lib/alpha.hpp>", "n"), (2, "cmd/m.go", "example.org/mod/pkg", "n"), (3, "src/m.rs", "crate::db::store", "Foo"), (4, "App/m.cs", "Models", "n"), (5, "App/m.cs", "Twice", "n"), (6, "m.c", '"util.h"', "n"), (7, "src/m.rs", "crate", "store"), (8, "src/m.rs", "std::store", "n"), (9, "src/a.rb", "near", "n"), (10, "A.kt", "none", "com.x.Alpha")]
+    imports = spark.createDataFrame(asked, "import_id long, path string, specifier string, name string")
+    symbols = spark.createDataFrame([(50, "Alpha"), (51, "Twin"), (52, "Twin")], "id long, name string")
+    assert got(derive.import_edges(imports, symbols, files), "import_id", "dst") == [(1, 1), (10, 50), (2, 2), (3, 3), (4, 4), (7, 3), (9, 10)]
+
+
+def test_scopes_and_inline_routes(spark):
+    nodes = [(0, "GET /a", "Route", None, 5, 5), (2, "GET /a", "Route", None, 30, 30), (4, "outer", "Function", None, 0, 20), (6, "<anonymous:5:1>", "Function", None, 5, 6), (8, "K", "Const", None, 5, 5), (10, "h", "Function", None, 40, 41), (12, "up", "Function", None, 50, 51)]
+    g = small(spark, nodes, [(10, 2, "HandlesRoute", 1.0), (12, 4, "Calls", 1.0)])
+    assert got(routes.inspect_route(g, "/a"), "route_id", "handler", "seed", "node", "depth") == [(0, "inline_anonymous", 4, 12, 1), (0, "inline_anonymous", 4, 4, 0), (2, "named", 10, 10, 0)]
+    s = spark.createDataFrame([(1, 9, "", "File", None), (2, 9, "N", "Namespace", None), (3, 9, "f", "Function", "N"), (4, 9, "m", "Method", "Class"), (5, 9, "P", "Property", None), (6, 9, "g", "Function", "")], "id long, file_id long, name string, kind string, owner_class string")
+    assert got(derive.scope_defines(s), "src", "dst") == [(1, 2), (1, 6), (2, 3)]
+
+
 def test_derivations(spark):
     nodes = small(spark, [(1, "C", "Class", None, 0, 20), (2, "m", "Method", None, 2, 4), (3, "D", "Class", None, 30, 40), (5, "n", "Method", "C", 50, 52), (7, "p", "Property", None, 3, 3)], []).nodes.withColumn("file_id", F.lit(0).cast("long"))
     assert got(derive.membership(nodes), "src", "dst", "rel_type") == [(1, 2, "HasMethod"), (1, 5, "HasMethod"), (1, 7, "HasProperty")]
@@ -161,6 +221,7 @@ def test_diffs(spark):
     assert [x["verdict"] for x in v.collect()] == ["Risk", "Warn", "Risk", "Info"]
     ov, ba = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "path string, hash long"), spark.createDataFrame([("a", 1), ("b", 9)], "path string, hash long")
     assert got(diff.promoted(ov, ba), "path") == [("b",), ("c",)]
+    assert diff.promoted(ov, ba, diverged=True).count() == 0
     f = spark.createDataFrame([("src/a.ts",), ("src/a.js",), ("src/a/index.js",), ("src/b.js",)], "path string")
     assert got(diff.shadowed(f.where("path = 'src/a.ts'"), f), "shadows") == [("src/a.js",), ("src/a/index.js",)]
     assert diff.merged(ov.withColumnRenamed("path", "uid"), ba.withColumnRenamed("path", "uid")).groupBy("uid").count().where("count > 1").count() == 0

@@ -87,10 +87,18 @@ def membership(nodes: DataFrame) -> DataFrame:
     return inner.unionByName(named).select("src", "dst", F.when(F.col("kind") == "Property", "HasProperty").otherwise("HasMethod").alias("rel_type"))
 
 
+# Kinds that a scope defines; properties and constructors belong to their owners alone.
+DEFINABLE = "Function Method Class Interface Trait Const Variable Struct Enum Typedef Macro Module Namespace".split()
+
+
 def scope_defines(nodes: DataFrame) -> DataFrame:
-    """(src, dst): a file to the symbols in it that no owner holds."""
-    file_nodes = nodes.where(F.col("kind") == "File").select(F.col("id").alias("src"), "file_id")
-    return nodes.where((F.col("kind") != "File") & F.coalesce(F.col("owner_class") == "", F.lit(True))).join(file_nodes, "file_id").select("src", F.col("id").alias("dst"))
+    """(src, dst): a file to the symbols in it that no owner holds, a namespace or module to those of its name as owner in the file."""
+    scopes = nodes.where(F.col("kind").isin("File", "Namespace", "Module"))
+    of = scopes.select(F.col("id").alias("src"), "file_id", F.when(F.col("kind") == "File", "").otherwise(F.col("name")).alias("o"))
+    # Of equal names in a file the first is the scope.
+    of = of.groupBy("file_id", "o").agg(F.min("src").alias("src"))
+    inside = nodes.where(F.col("kind").isin(*DEFINABLE)).select(F.col("id").alias("dst"), "file_id", F.coalesce("owner_class", F.lit("")).alias("o"))
+    return inside.join(of, ["file_id", "o"]).select("src", "dst")
 
 
 def enum_variants(nodes: DataFrame) -> DataFrame:
@@ -100,19 +108,33 @@ def enum_variants(nodes: DataFrame) -> DataFrame:
 
 
 def import_edges(imports: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFrame:
-    """(import_id, dst, confidence): by symbol, by the last part of a dotted name, then by file: exact, relative, by ending, by stem.
+    """(import_id, dst, confidence) of imports (import_id, path, specifier, name); the first step that finds something decides.
 
-    ``imports``: (import_id, path, specifier, name); the first step that finds something decides.
+    By symbol: the name, then its part after the last dot. By file: the path as it stands, beside the importing file, with
+    any ending; the one file whose path ends so; the one that ends in the last segment with the importer's ending; the
+    module file of a ``crate::`` path; the one file with the importer's ending in a folder of that name.
     """
-    last = F.element_at(F.split("specifier", r"[.:/\\]+"), -1)
+    clean = F.regexp_replace("specifier", "^[\"'<>]+|[\"'<>]+$", "")
     folder = F.regexp_replace("path", r"/?[^/]*$", "")
-    bare = F.regexp_replace("specifier", r"^\./", "")
+    bare = F.regexp_replace(clean, r"^\./", "")
     relative = F.when(folder == "", bare).otherwise(F.concat(folder, F.lit("/"), bare))
+    ending = F.nullif(F.regexp_extract("path", r"(\.[^./]+)$", 1), F.lit(""))
+    last_name = F.when(F.contains("name", F.lit(".")), F.substring_index("name", ".", -1))
+    module = F.when(F.col("specifier").isin("crate", "self"), F.col("name")).when(F.col("specifier").rlike("^(crate|self)::"), F.substring_index("specifier", "::", -1))
     names = symbols.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("dst")).where("n = 1").select(F.col("name").alias("key"), "dst")
     paths = files.select(F.col("path").alias("key"), F.col("node_id").alias("dst"))
     stems = files.groupBy(F.regexp_replace("path", r"\.[A-Za-z0-9]+$", "").alias("key")).agg(F.min("node_id").alias("dst"))
-    base = files.groupBy(F.regexp_extract("path", r"([^/]+)\.[A-Za-z0-9]+$", 1).alias("key")).agg(F.count(F.lit(1)).alias("n"), F.min("node_id").alias("dst")).where("n = 1").drop("n")
-    steps = [(F.col("name"), names, 0.95), (last, names, 0.95), (F.col("specifier"), paths, 0.9), (relative, paths, 0.9), (relative, stems, 0.9), (F.regexp_replace("specifier", r"[.:]+", "/"), stems, 0.9), (last, base, 0.9)]
+    # A path has one ending for each of its segments, so that the one file that ends so is found by equality.
+    parts = F.split("path", "/")
+    one = lambda key: files.select(F.explode(key).alias("key"), "node_id").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node_id").alias("dst")).where("n = 1").drop("n")
+    ends = one(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "/")))
+    # Folders are keyed with the ending of the file, set off by a slash.
+    inside = one(F.transform(F.array_distinct(F.filter(F.slice(parts, 1, F.size(parts) - 1), lambda d: d != "")), lambda d: F.concat(d, F.lit("/"), F.regexp_extract("path", r"(\.[^./]+)$", 1))))
+    steps = [
+        (F.col("name"), names, 0.95), (last_name, names, 0.95), (clean, paths, 0.9), (relative, paths, 0.9), (relative, stems, 0.9), (F.regexp_replace(clean, r"[.:]+", "/"), stems, 0.9),
+        (clean, ends, 0.9), (F.concat(F.substring_index(clean, "/", -1), ending), ends, 0.9), (F.concat(module, ending), ends, 0.9),
+        (F.when((clean != "") & ~clean.contains("/"), F.concat(clean, F.lit("/"), ending)), inside, 0.9),
+    ]
     every = None
     for k, (key, table, sure) in enumerate(steps):
         hit = imports.select("import_id", key.alias("key")).join(table, "key").select("import_id", F.struct(F.lit(k).alias("k"), "dst", F.lit(sure).alias("confidence")).alias("h"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,6 +17,14 @@ def summary(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
+def metrics(graph, symbols: tuple[str, ...] = ("Function", "Method", "Class", "Interface")) -> DataFrame:
+    """One row (nodes, edges, files, symbols) of the sizes of a snapshot."""
+    nodes = graph.nodes.agg(F.count(F.lit(1)).alias("nodes"), F.count_if(F.col("kind").isin(*symbols)).alias("symbols"))
+    sizes = graph.edges.agg(F.count(F.lit(1)).alias("edges")), graph.side("files").agg(F.count(F.lit(1)).alias("files"))
+    # Three tables of one row each.
+    return nodes.crossJoin(sizes[0]).crossJoin(sizes[1]).select("nodes", "edges", "files", "symbols")
+
+
 def tier(confidence: Column, strong: float) -> Column:
     return F.when(confidence >= strong, "strong").otherwise("weak")
 
@@ -94,15 +103,41 @@ def audit(spots: DataFrame, k: int) -> DataFrame:
     return counts.crossJoin(F.broadcast(total)).select("language", "cause", "n", F.round(F.col("n") / F.col("total"), 6).alias("share")).orderBy(F.desc("n"), "language", "cause").limit(k)
 
 
-def verify(expected: DataFrame, decided: DataFrame) -> DataFrame:
-    """Verdicts on decisions (key, target, tier) against what is expected (key, target); the best tier of a key counts.
+# Tiers of a resolver, best first, and what is stripped from the end of a path before it is compared.
+TIERS = "SameFile ImportScoped Global AmbiguousGlobal".split()
+ENDINGS = {
+    "typescript": [".d.ts .tsx .jsx .mjs .cjs .ts .js".split(), ["/index", "/main"]],
+    "python": [[".pyi", ".py"], ["/__init__"]],
+    "rust": [[".rs"], ["/mod", "/lib", "/main"]],
+}
+
+
+def module_path(path: Column, language: str = "") -> Column:
+    """A path without that by which paths of one module differ."""
+    out = F.replace(path, F.lit("\\"), F.lit("/"))
+    out = F.regexp_replace(out, r"^(\./)+", "") if language == "typescript" else out
+    for ends in ENDINGS.get(language, []):
+        out = F.regexp_replace(out, "(" + "|".join(re.escape(e) for e in ends) + ")$", "")
+    return out
+
+
+def verify(expected: DataFrame, decided: DataFrame, language: str = "") -> DataFrame:
+    """(tier, verdict, n) of decisions (key, target, tier, alt_count) against what is expected (key, target).
 
-    TP: same target; FP_overmatch: another target; FP_ghost: a decision where none is expected; FN: none where one is.
+    The best tier of a key counts, of equal ones the least target. TP: the same module, counted as ``demoted`` too where
+    the tier is Global and as ``FP_overmatch`` where there were other candidates; FP_ghost: another module, or one where
+    none is expected; FN: none where one is; ``expected_only`` and ``decided_*``: keys of one side alone.
     """
-    best = decided.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("tier", "target"))).where("r = 1").select("key", F.col("target").alias("got"))
+    rank = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, TIERS)), F.col("tier")), F.lit(0)), F.lit(len(TIERS) + 1))
+    best = decided.groupBy("key").agg(F.min(F.struct(rank.alias("rank"), "target", "alt_count", "tier")).alias("d"))
     both = expected.select("key", "target", F.lit(True).alias("known")).join(best, "key", "full_outer")
-    verdict = F.when(F.col("known").isNull() | F.col("target").isNull(), F.when(F.col("got").isNotNull(), "FP_ghost").otherwise("TN")).when(F.col("got").isNull(), "FN").when(F.col("got") == F.col("target"), "TP").otherwise("FP_overmatch")
-    return both.groupBy(verdict.alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
+    ours, theirs = module_path(F.col("d.target"), language), module_path(F.col("target"), language)
+    hit = F.array_compact(F.array(F.lit("TP"), F.when(F.col("d.tier") == "Global", "demoted"), F.when(F.col("d.alt_count") > 0, "FP_overmatch")))
+    verdict = (
+        F.when(F.col("known").isNull(), F.array(F.when(F.col("d.tier") == "SameFile", "decided_same_file").otherwise("decided_other")))
+        .when(F.col("d").isNull(), F.array(F.lit("expected_only"))).when(ours == theirs, hit).when(ours.isNotNull(), F.array(F.lit("FP_ghost"))).when(theirs.isNotNull(), F.array(F.lit("FN")))
+    )
+    return both.select("d.tier", F.explode(verdict).alias("verdict")).groupBy("tier", "verdict").agg(F.count(F.lit(1)).alias("n"))
 
 
 def literal_pairs(literals: DataFrame, least: float = 0.85) -> DataFrame:
@@ -113,25 +148,41 @@ def literal_pairs(literals: DataFrame, least: float = 0.85) -> DataFrame:
     return reads.join(writes, ["directory", "extension"]).withColumn("likeness", literal_likeness(F.col("read"), F.col("written"))).where(F.col("likeness") >= least)
 
 
-def rename_plan(graph, target: int, new_name: str) -> DataFrame:
-    """(file_id, edges, collides): files that refer to the target by a sure edge, and whether the new name is taken there."""
-    sure = ~F.col("rel_type").isin(sorted(graph.profile.heuristic)) if graph.profile.heuristic else F.lit(True)
-    users = graph.edges.where((F.col("dst") == target) & sure).join(graph.nodes.select(F.col("id").alias("src"), "file_id"), "src")
-    taken = graph.nodes.where(F.col("name") == new_name).select("file_id").distinct().withColumn("collides", F.lit(True))
-    return users.groupBy("file_id").agg(F.count(F.lit(1)).alias("edges")).join(taken, "file_id", "left").select("file_id", "edges", F.coalesce("collides", F.lit(False)).alias("collides"))
+def rename_targets(nodes: DataFrame, target: str) -> DataFrame:
+    """Nodes in files that ``Owner.name`` names, or a bare name of symbols without an owner."""
+    owner, _, name = target.rpartition(".")
+    held = F.coalesce("owner_class", F.lit("")) == owner
+    return nodes.where(F.col("file_id").isNotNull() & (F.col("name") == name) & held)
 
 
-def mentions(lines: DataFrame, name: str) -> DataFrame:
-    """Lines (file_id, line, text) with the whole word, and whether it stands in a comment, a string or code."""
-    word = rf"(^|[^A-Za-z0-9_])\Q{name}\E($|[^A-Za-z0-9_])"
-    context = F.when(F.trim("text").rlike(r"^(#|//|\*|/\*|--)"), "comment").when(F.col("text").rlike(rf"[\"'][^\"']*\Q{name}\E[^\"']*[\"']"), "string").otherwise("code")
-    return lines.where(F.col("text").rlike(word)).withColumn("context", context)
+def rename_files(graph, targets: DataFrame) -> DataFrame:
+    """(file_id, edges): the files of the targets and of all that refer to them by a sure edge, with the number of such edges."""
+    ids = targets.select(F.col("id").alias("dst"))
+    sure = graph.edges.where(~F.col("rel_type").isin(sorted(graph.profile.heuristic))).join(ids, "dst", "left_semi")
+    users = sure.select("src").join(graph.nodes.where("file_id IS NOT NULL").select(F.col("id").alias("src"), "file_id"), "src").select("file_id", F.lit(1).alias("e"))
+    return users.unionByName(targets.select("file_id", F.lit(0).alias("e"))).groupBy("file_id").agg(F.sum("e").alias("edges"))
+
+
+def rename_guesses(graph, targets: DataFrame) -> DataFrame:
+    """(name, n): heuristic edges into and out of the targets by the name at the other end; they are counted, not followed."""
+    guess = graph.edges.where(F.col("rel_type").isin(sorted(graph.profile.heuristic)))
+    ids, ends = targets.select("id"), []
+    for own, other in (("dst", "src"), ("src", "dst")):
+        ends.append(guess.join(ids.withColumnRenamed("id", own), own, "left_semi").select(F.col(other).alias("id")))
+    return ends[0].unionByName(ends[1]).join(graph.nodes.select("id", "name"), "id").groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+
+
+def rename_collisions(graph, new_name: str) -> DataFrame:
+    """(id, file_id, start_row) of nodes that have the new name already."""
+    return graph.nodes.where(F.col("name") == new_name).select("id", "file_id", "start_row")
 
 
-def tool_map(bindings: DataFrame, lines: DataFrame, catalog: DataFrame) -> DataFrame:
-    """(category, tool, file_id, line): lines of a file that use what it imports from a catalogued module."""
-    known = bindings.join(catalog, "module")
-    return lines.join(known, "file_id").where(F.rlike("text", F.concat(F.lit(r"(^|[^A-Za-z0-9_])\Q"), F.col("local"), F.lit(r"\E[.(]")))).select("category", F.col("module").alias("tool"), "file_id", "line")
+def mentions(lines: DataFrame, name: str) -> DataFrame:
+    """Lines (file_id, path, line, text) with the whole word; the path says whether this is a test, markdown, data or code."""
+    word = rf"(?U)\b\Q{name}\E\b"
+    test = F.col("path").contains("/test/") | F.col("path").contains("/tests/") | F.col("path").rlike(r"_test\.(go|rs)$")
+    context = F.when(test, "test").when(F.col("path").rlike(r"\.(md|rst|markdown)$"), "markdown").when(F.col("path").rlike(r"\.(json|toml|yaml|yml)$"), "data").otherwise("code")
+    return lines.where(F.col("text").rlike(word)).withColumn("context", context)
 
 
 def risk(changes: DataFrame, key: str) -> DataFrame:
@@ -139,12 +190,46 @@ def risk(changes: DataFrame, key: str) -> DataFrame:
     return changes.groupBy(key).agg(F.count(F.lit(1)).alias("touched")).withColumn("risk", F.when(F.col("touched") <= 5, "low").when(F.col("touched") <= 30, "medium").otherwise("high"))
 
 
+def areas(changes: DataFrame, key: str, path: str, rules: dict[str, str]) -> DataFrame:
+    """(key, area): the area on which all paths of a change agree, by the first pattern that fits each; null where they do not, or one fits none."""
+    area = F.lit(None).cast("string")
+    for pattern, name in reversed(rules.items()):
+        area = F.when(F.col(path).rlike(pattern), name).otherwise(area)
+    agreed = changes.select(F.col(key), area.alias("area")).groupBy(key).agg(F.min("area").alias("a"), F.max("area").alias("b"), F.bool_or(F.col("area").isNull()).alias("none"))
+    return agreed.select(key, F.when((F.col("a") == F.col("b")) & ~F.col("none"), F.col("a")).alias("area"))
+
+
 def conflicts(changes: DataFrame, key: str, symbol: str) -> DataFrame:
-    """(a, b, common): pairs of change sets that touch the same symbols, counted through the symbols."""
-    x = changes.select(F.col(key).alias("a"), symbol).distinct()
+    """(a, b, common): pairs of change sets that touch the same symbols, counted through the symbols.
+
+    Names of anonymous symbols hold a line number, so that they say nothing of another change and are left out.
+    """
+    x = changes.where(~F.col(symbol).cast("string").startswith("<anonymous:")).select(F.col(key).alias("a"), symbol).distinct()
     return x.join(x.withColumnRenamed("a", "b"), symbol).where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"))
 
 
+def neighbours(graph, kinds: tuple[str, ...] = (), relations: tuple[str, ...] = (), file_part: str = "", tests: bool = True) -> DataFrame:
+    """(id, direction, rel_type, heuristic, near, name, kind, file_path): every edge seen from both ends, less what the filters on the other end leave out."""
+    view = graph.node_view({"file_path", "category"} if file_part or not tests or graph.files is not None else {"id"})
+    if kinds:
+        view = view.where(F.lower("kind").isin([k.lower() for k in kinds]))
+    if file_part:
+        view = view.where(F.contains("file_path", F.lit(file_part)))
+    if not tests:
+        view = view.where(F.coalesce(F.col("category") != "Test", F.lit(True)))
+    edges = graph.edges.where(F.col("rel_type").isin(*relations)) if relations else graph.edges
+    guess = F.col("rel_type").isin(sorted(graph.profile.heuristic))
+    sides = [edges.select(F.col(own).alias("id"), F.col(other).alias("near"), "rel_type", guess.alias("heuristic"), F.lit(way).alias("direction")) for own, other, way in (("src", "dst", "out"), ("dst", "src", "in"))]
+    place = F.col("file_path") if "file_path" in view.columns else F.lit(None).cast("string")
+    return reduce(DataFrame.unionByName, sides).join(view.select(F.col("id").alias("near"), "name", "kind", "file_id", place.alias("file_path")), "near")
+
+
+def upstream(near: DataFrame) -> DataFrame:
+    """(id, near, name, kind, file_path): the nodes right upstream of each, once each, of those that ``neighbours`` gives; files and nodes without a file are left out, and so is a node itself."""
+    into = near.where("direction = 'in' AND kind <> 'File' AND file_id IS NOT NULL AND near <> id")
+    return into.select("id", "near", "name", "kind", "file_path").distinct()
+
+
 def inspect(graph) -> DataFrame:
     """(id, direction, rel_type, n, first): neighbours of every node by direction and relation, the first three by name."""
     name = graph.nodes.select("id", "name")
@@ -171,8 +256,14 @@ def overlapping(spans: DataFrame, ranges: DataFrame) -> DataFrame:
 
 
 def enclosing(spans: DataFrame, places: DataFrame) -> DataFrame:
-    """(place_id, id): the innermost span around each place (file_id, place_id, line); the first wins ties."""
-    inside = spans.join(places, "file_id").where((F.col("start_row") <= F.col("line")) & (F.col("end_row") >= F.col("line")))
+    """(place_id, id): the innermost scope around each place (file_id, place_id, line); the first wins ties.
+
+    Scopes are spans (file_id, id, kind, name, start_row, end_row) of named functions, methods, constructors, classes and
+    constants of several lines.
+    """
+    scope = F.col("kind").isin("Function", "Method", "Constructor", "Class") | ((F.col("kind") == "Const") & (F.col("end_row") > F.col("start_row")))
+    scopes = spans.where(scope & ~F.col("name").startswith("<anonymous")).select("file_id", "id", "start_row", "end_row")
+    inside = scopes.join(places.select("file_id", "place_id", "line"), "file_id").where((F.col("start_row") <= F.col("line")) & (F.col("end_row") >= F.col("line")))
     return inside.groupBy("place_id").agg(F.min_by("id", F.struct(F.col("end_row") - F.col("start_row"), "id")).alias("id"))
 
 

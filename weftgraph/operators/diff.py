@@ -46,6 +46,14 @@ def callers(changed: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame
     return ends.groupBy(F.col("dst").alias("id")).agg(F.count_if(same).alias("intra"), F.count_if(~same).alias("cross"), F.min("confidence").alias("min_confidence"))
 
 
+def route_consumers(routes_: DataFrame, fetches: DataFrame) -> DataFrame:
+    """Routes (id, method, path, file, line) with ``consumers``: files that fetch them (route_id, path, confidence), each once with its greatest confidence."""
+    best = fetches.groupBy("route_id", "path").agg(F.max("confidence").alias("confidence"))
+    held = best.groupBy(F.col("route_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("path", "confidence"))).alias("consumers"))
+    none = F.array().cast(held.schema["consumers"].dataType)
+    return routes_.join(held, "id", "left").withColumn("consumers", F.coalesce("consumers", none))
+
+
 def routes(old: DataFrame, new: DataFrame) -> DataFrame:
     """(method, path, status) of routes (method, path, file, line, consumers); moving the handler is a change, consumers are not."""
     return keyed(old, new, ["method", "path"], (F.col("old.file") != F.col("new.file")) | (F.col("old.line") != F.col("new.line"))).select("method", "path", "status")
@@ -59,10 +67,26 @@ def bindings(old: DataFrame, new: DataFrame) -> DataFrame:
     return found.select(*keys, F.when(F.col("status") != "changed", F.when(F.col("status") == "added", "new").otherwise("removed")).when(moved, "target_change").otherwise("tier_change").alias("change"))
 
 
-def indirect_in_region(call_meta: DataFrame, edges: DataFrame, nodes: DataFrame, region: DataFrame) -> DataFrame:
-    """(edge_id, dispatch): dynamic dispatch and callbacks out of files of the region; dynamic dispatch comes first."""
-    dispatch = F.when(F.col("is_dynamic_dispatch"), "dynamic").when(F.col("is_callback"), "callback")
-    inside = nodes.join(region, "file_id", "left_semi").select(F.col("id").alias("src"))
+def region(file_changes: DataFrame, symbol_changes: DataFrame) -> DataFrame:
+    """(path): files that came or went, and those of symbols that came, went or changed."""
+    return file_changes.select("path").unionByName(symbol_changes.select("path")).distinct()
+
+
+def spots_in_region(spots: DataFrame, region_: DataFrame) -> DataFrame:
+    """Blind spots (file_path, start_row, kind, hint, is_test) of the newer snapshot in files of the region; those of tests are left out."""
+    inside = spots.where(~F.coalesce("is_test", F.lit(False))).join(region_.select(F.col("path").alias("file_path")), "file_path", "left_semi")
+    return inside.select(F.col("file_path").alias("path"), "start_row", "kind", "hint")
+
+
+def indirect_in_region(call_meta: DataFrame, edges: DataFrame, nodes: DataFrame, region_: DataFrame, tests: DataFrame | None = None) -> DataFrame:
+    """(edge_id, dispatch): dynamic dispatch and callbacks out of files (file_id) of the region; dynamic dispatch comes first.
+
+    ``tests``: (node_id, is_test) of functions; calls out of tests are left out.
+    """
+    dispatch = F.when(F.col("is_dynamic_dispatch"), "dynamic_dispatch").when(F.col("is_callback"), "callback")
+    inside = nodes.join(region_, "file_id", "left_semi").select(F.col("id").alias("src"))
+    if tests is not None:
+        inside = inside.join(tests.where("is_test").select(F.col("node_id").alias("src")), "src", "left_anti")
     return call_meta.join(edges.select("edge_id", "src"), "edge_id").join(inside, "src", "left_semi").select("edge_id", dispatch.alias("dispatch")).where("dispatch IS NOT NULL")
 
 
@@ -112,8 +136,13 @@ def merged(overlay: DataFrame, base: DataFrame, key: str = "uid") -> DataFrame:
     return overlay.unionByName(base.join(overlay.select(key).distinct(), key, "left_anti"))
 
 
-def promoted(overlay: DataFrame, new_base: DataFrame) -> DataFrame:
-    """Overlay entries (path, hash) that a base moved forward does not hold yet; a file that is missing there stays."""
+def promoted(overlay: DataFrame, new_base: DataFrame, diverged: bool = False) -> DataFrame:
+    """Overlay entries (path, hash) that a base moved forward does not hold yet; a file that is missing there stays.
+
+    Where the new base does not come from the old one, the session starts afresh and its entries are set aside.
+    """
+    if diverged:
+        return overlay.limit(0)
     return overlay.join(new_base.select("path", F.col("hash").alias("base_hash")), "path", "left").where("base_hash IS NULL OR base_hash <> hash").drop("base_hash")
 
 

@@ -23,12 +23,23 @@ def suggestions(routes: DataFrame, path: str, k: int = 5) -> DataFrame:
 
 
 def inspect_route(graph, path: str, depth: int = 3) -> DataFrame:
-    """(seed, node, depth): the handlers of an exact path and what lies upstream of them."""
+    """(route_id, handler, seed, node, depth): the handlers of an exact path and what lies upstream of them.
+
+    A route that nothing handles has its handler written in place: the scope around it is the seed, null if there is none.
+    """
+    from weftgraph.operators.detect import enclosing
     from weftgraph.operators.traverse import impact
 
-    found = listed(graph.nodes.where(F.col("kind") == "Route")).where(F.col("path") == path).select(F.col("id").alias("dst"))
-    handlers = graph.edges.where(F.col("rel_type") == "HandlesRoute").join(found, "dst", "left_semi").select(F.col("src").alias("seed")).distinct()
-    return handlers.select("seed", F.col("seed").alias("node"), F.lit(0).alias("depth")).unionByName(impact(graph, handlers, "up", depth).select("seed", "node", "depth"))
+    found = cut(listed(graph.nodes.where(F.col("kind") == "Route")).where(F.col("path") == path).select(F.col("id").alias("route_id"), "file_id", F.col("start_row").alias("line")), "routes")
+    handlers = graph.edges.where(F.col("rel_type") == "HandlesRoute").join(found.select(F.col("route_id").alias("dst")), "dst", "left_semi")
+    named = handlers.select(F.col("dst").alias("route_id"), F.lit("named").alias("handler"), F.col("src").alias("seed")).distinct()
+    bare = found.join(named, "route_id", "left_anti")
+    scopes = enclosing(graph.nodes, bare.select("file_id", F.col("route_id").alias("place_id"), "line"))
+    inline = bare.select("route_id", F.lit("inline_anonymous").alias("handler")).join(scopes.select(F.col("place_id").alias("route_id"), F.col("id").alias("seed")), "route_id", "left")
+    seeds = cut(named.unionByName(inline), "handlers")
+    reached = impact(graph, seeds.where("seed IS NOT NULL").select("seed").distinct(), "up", depth).select("seed", "node", "depth")
+    above = seeds.join(reached, "seed").select("route_id", "handler", "seed", "node", "depth")
+    return seeds.select("route_id", "handler", "seed", F.col("seed").alias("node"), F.lit(0).alias("depth")).unionByName(above)
 
 
 def matched_fetches(fetches: DataFrame, routes: DataFrame) -> DataFrame:

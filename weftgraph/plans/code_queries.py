@@ -103,11 +103,12 @@ def impl_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.without_impls(nodes).select("id", "kind", "suppressed")
 
 
-@query(r"""WITH l AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS line, unnest(string_split(text, chr(10))) AS t FROM documents)
-SELECT doc_id AS file_id, line, CASE WHEN regexp_matches(trim(t), '^(#|//|\*|/\*|--)') THEN 'comment' WHEN regexp_matches(t, '["''][^"'']*License[^"'']*["'']') THEN 'string' ELSE 'code' END AS context FROM l WHERE regexp_matches(t, '(^|[^A-Za-z0-9_])License($|[^A-Za-z0-9_])')""")
+@query(r"""WITH l AS (SELECT doc_id, lang, unnest(range(len(string_split(text, chr(10))))) AS line, unnest(string_split(text, chr(10))) AS t FROM documents)
+SELECT doc_id AS file_id, line + 1 AS line, CASE lang WHEN 'de' THEN 'test' WHEN 'fr' THEN 'markdown' WHEN 'es' THEN 'data' ELSE 'code' END AS context FROM l WHERE regexp_matches(t, '(^|[^\p{L}\p{M}\p{Nd}_])License($|[^\p{L}\p{M}\p{Nd}_])')""")
 def rename_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), F.posexplode(F.split("text", "\n")).alias("line", "text"))
-    return detect.mentions(lines, "License").select("file_id", F.col("line").cast("long").alias("line"), "context")
+    path = F.expr("concat(source, CASE lang WHEN 'de' THEN '/tests/a.py' WHEN 'fr' THEN '/a.md' WHEN 'es' THEN '/a.yml' ELSE '/a.py' END)")
+    lines = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), path.alias("path"), F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    return detect.mentions(lines, "License").select("file_id", (F.col("line") + 1).cast("long").alias("line"), "context")
 
 
 _PATHS = "source || '/' || lang || '/' || doc_id || CASE doc_id % 4 WHEN 0 THEN '_test.go' WHEN 1 THEN '.ts' WHEN 2 THEN 'Test.java' ELSE '/Dockerfile' END"
@@ -173,18 +174,28 @@ def entry_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derive.entry_points(d.where("doc_id % 10 = 0").selectExpr("doc_id AS id"), d.where("doc_id % 15 = 0").selectExpr("doc_id AS id"), d.where("doc_id % 4 = 0").selectExpr("doc_id AS id", "(n_chars % 100) / 100D AS confidence"))
 
 
-@query("SELECT doc_id AS import_id, CASE WHEN doc_id % 50 < 25 THEN doc_id % 50 ELSE 1000 + CASE lang WHEN 'en' THEN 0 WHEN 'de' THEN 1 WHEN 'fr' THEN 2 ELSE 3 END END AS dst, CASE WHEN doc_id % 50 < 25 THEN 0.95 ELSE 0.9 END::DOUBLE AS confidence FROM documents")
+@query("""SELECT d.doc_id AS import_id, CASE WHEN p.id IS NOT NULL THEN p.id ELSE 1000000 + CASE WHEN d.doc_id % 4 = 3 THEN 4 ELSE 0 END + l.k END AS dst, CASE WHEN p.id IS NOT NULL THEN 0.95 ELSE 0.9 END::DOUBLE AS confidence
+FROM documents d JOIN (VALUES ('en', 0), ('de', 1), ('fr', 2), ('es', 3)) AS l(lang, k) USING (lang)
+LEFT JOIN (SELECT p_partkey AS id FROM part) p ON p.id = d.doc_id // 2 AND d.doc_id % 2 = 0""")
 def import_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    imports = docs(spark, sf_dir, "doc_id AS import_id", "concat(source, '/m.py') AS path", "concat(lang, '.mod') AS specifier", "concat('n', doc_id % 50) AS name")
-    files = spark.createDataFrame([(f"{x}/mod.py", 1000 + k) for k, x in enumerate(("en", "de", "fr", "es"))], "path string, node_id long")
-    return derive.import_edges(imports, spark.range(25).selectExpr("id", "concat('n', id) AS name"), files).select("import_id", "dst", F.col("confidence").cast("double").alias("confidence"))
-
-
-@query("SELECT conv_id AS src, conv_id * 1000 + turn + 1 AS dst FROM conversations WHERE role <> 'system'")
+    """Even documents import a part by its name, where there is one; others, by ending, last segment, crate or folder."""
+    specifier = "CASE doc_id % 4 WHEN 0 THEN concat('<', lang, '/mod.py>') WHEN 1 THEN concat('crate::x::', lang, '_top') WHEN 2 THEN concat('host/', lang, '_top') ELSE concat(upper(lang), 'Dir') END"
+    imports = docs(spark, sf_dir, "doc_id AS import_id", "concat(source, '/m.py') AS path", f"{specifier} AS specifier", "IF(doc_id % 2 = 0, concat('org.n', doc_id DIV 2), 'none') AS name")
+    langs = spark.createDataFrame([(x, k) for k, x in enumerate(("en", "de", "fr", "es"))], "lang string, k long")
+    # ``mod.py`` stands under a search path; a ``_top.py`` has the same node, so that both specifiers mean it.
+    files = langs.selectExpr("concat('inc/', lang, '/mod.py') AS path", "1000000 + k AS node_id")
+    files = files.unionByName(langs.selectExpr("concat('lib/', lang, '_top.py') AS path", "1000000 + k AS node_id"))
+    files = files.unionByName(langs.selectExpr("concat('lib/', upper(lang), 'Dir/one.py') AS path", "1000004 + k AS node_id")).unionByName(langs.selectExpr("concat('lib/', upper(lang), 'Dir/one.cs') AS path", "5 AS node_id"))
+    return derive.import_edges(imports, parts(spark, sf_dir, "p_partkey AS id", "concat('n', p_partkey) AS name"), files).select("import_id", "dst", F.col("confidence").cast("double").alias("confidence"))
+
+
+@query("""WITH f AS (SELECT conv_id, min(CASE WHEN role = 'system' THEN conv_id * 1000 + turn + 1 END) AS space FROM conversations GROUP BY 1)
+SELECT CASE WHEN turn % 2 = 0 THEN space ELSE conv_id END AS src, conv_id * 1000 + turn + 1 AS dst FROM conversations JOIN f USING (conv_id) WHERE CASE WHEN role = 'system' THEN turn % 2 = 1 OR space IS NOT NULL WHEN role = 'user' THEN turn % 2 = 1 OR space IS NOT NULL ELSE FALSE END""")
 def scope_defines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """System turns are namespaces, all of one name; user turns functions; assistant turns properties. Even turns lie in the namespace."""
     turns = table(spark, sf_dir, "conversations")
-    nodes = turns.selectExpr("conv_id * 1000 + turn + 1 AS id", "conv_id AS file_id", "'Function' AS kind", "IF(role = 'system', 'Owner', NULL) AS owner_class").unionByName(turns.selectExpr("conv_id AS id", "conv_id AS file_id", "'File' AS kind", "CAST(NULL AS STRING) AS owner_class").distinct())
-    return derive.scope_defines(nodes)
+    nodes = turns.selectExpr("conv_id * 1000 + turn + 1 AS id", "conv_id AS file_id", "IF(role = 'system', 'space', text) AS name", "CASE role WHEN 'system' THEN 'Namespace' WHEN 'user' THEN 'Function' ELSE 'Property' END AS kind", "IF(turn % 2 = 0, 'space', NULL) AS owner_class")
+    return derive.scope_defines(nodes.unionByName(turns.selectExpr("conv_id AS id", "conv_id AS file_id", "'' AS name", "'File' AS kind", "CAST(NULL AS STRING) AS owner_class").distinct()))
 
 
 @query("SELECT a.p_partkey AS src, b.p_partkey AS dst FROM part a JOIN part b ON a.p_size = b.p_size AND a.p_name = b.p_name AND a.p_partkey % 2 = 0 AND b.p_partkey % 2 = 1")
@@ -237,11 +248,11 @@ def callers_of_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff.callers(nodes.where("file_id % 10 = 0"), nodes, calls)
 
 
-@query("SELECT p_partkey AS edge_id, CASE WHEN p_size % 2 = 0 THEN 'dynamic' ELSE 'callback' END AS dispatch FROM part WHERE p_size % 6 IN (0, 2, 3, 4) AND p_size > 30")
+@query("SELECT p_partkey AS edge_id, CASE WHEN p_size % 2 = 0 THEN 'dynamic_dispatch' ELSE 'callback' END AS dispatch FROM part WHERE p_size % 6 IN (0, 2, 3, 4) AND p_size > 30 AND p_partkey % 7 <> 0")
 def indirect_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     meta = parts(spark, sf_dir, "p_partkey AS edge_id", "p_size % 2 = 0 AS is_dynamic_dispatch", "p_size % 3 = 0 AS is_callback")
     nodes = parts(spark, sf_dir, "p_partkey AS id", "p_size AS file_id")
-    return diff.indirect_in_region(meta, parts(spark, sf_dir, "p_partkey AS edge_id", "p_partkey AS src"), nodes, nodes.where("file_id > 30").select("file_id").distinct())
+    return diff.indirect_in_region(meta, parts(spark, sf_dir, "p_partkey AS edge_id", "p_partkey AS src"), nodes, nodes.where("file_id > 30").select("file_id").distinct(), parts(spark, sf_dir, "p_partkey AS node_id", "p_partkey % 7 = 0 AS is_test"))
 
 
 @query("SELECT p_partkey AS path FROM part WHERE p_partkey % 3 = 0 OR p_size % 2 = 0")

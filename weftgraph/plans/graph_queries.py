@@ -104,10 +104,12 @@ def inspect_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each turn of a conversation as a span of lines of its file."""
-    return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("file_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("turn").alias("start_row"), (F.col("turn") + F.length("text") % 4).alias("end_row"))
+    kind = F.expr("CASE role WHEN 'user' THEN 'Function' WHEN 'assistant' THEN 'Const' ELSE 'Property' END")
+    name = F.concat(F.when(F.col("turn") % 5 == 2, "<anonymous:").otherwise("f"), "turn")
+    return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("file_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), kind.alias("kind"), name.alias("name"), F.col("turn").alias("start_row"), (F.col("turn") + F.length("text") % 4).alias("end_row"))
 
 
-_SPANS = "SELECT conv_id AS file_id, conv_id * 1000 + turn AS id, turn AS a, turn + length(text) % 4 AS b FROM conversations"
+_SPANS = "SELECT conv_id AS file_id, conv_id * 1000 + turn AS id, role, turn, turn AS a, turn + length(text) % 4 AS b FROM conversations"
 
 
 @query(f"SELECT s.id, s.file_id FROM ({_SPANS}) s WHERE a <= 4 AND b >= 3")
@@ -117,7 +119,7 @@ def nodes_overlapping_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.overlapping(spans, ranges).select("id", "file_id")
 
 
-@query(f"""SELECT place_id, arg_min(id, struct_pack(w := b - a, i := id)) AS id FROM ({_SPANS}) s JOIN (SELECT conv_id, conv_id * 1000 + turn AS place_id, turn AS line FROM conversations) p ON p.conv_id = s.file_id AND a <= line AND b >= line GROUP BY place_id""")
+@query(f"""SELECT place_id, arg_min(id, struct_pack(w := b - a, i := id)) AS id FROM ({_SPANS}) s JOIN (SELECT conv_id, conv_id * 1000 + turn AS place_id, turn AS line FROM conversations) p ON p.conv_id = s.file_id AND a <= line AND b >= line WHERE turn % 5 <> 2 AND (role = 'user' OR (role = 'assistant' AND b > a)) GROUP BY place_id""")
 def enclosing_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = _spans(spark, sf_dir)
     return detect.enclosing(spans, spans.select("file_id", F.col("id").alias("place_id"), F.col("start_row").alias("line")))
@@ -316,11 +318,19 @@ def framework_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.frameworks(commerce.graph(spark, sf_dir).edges, {"key": "keys", "O": "open", "F*": "finished"})
 
 
-@query("""SELECT CASE WHEN target IS NULL THEN CASE WHEN got IS NOT NULL THEN 'FP_ghost' ELSE 'TN' END WHEN got IS NULL THEN 'FN' WHEN got = target THEN 'TP' ELSE 'FP_overmatch' END AS verdict, count(*) AS n
-FROM (SELECT nullif(quality, 0) AS target, CASE WHEN doc_id % 5 <> 0 THEN 1 - toxic END AS got FROM labels) GROUP BY 1""")
+@query("""WITH e AS (SELECT doc_id AS k, TRUE AS known, CASE quality WHEN 1 THEN doc_id % 3 END AS t FROM labels),
+d AS (SELECT doc_id AS k, TRUE AS decided, CASE WHEN doc_id % 5 = 0 THEN NULL WHEN lang = 'fr' THEN 9 ELSE doc_id % 3 END AS g, CASE WHEN doc_id % 5 = 0 THEN 'Unresolved' WHEN doc_id % 4 = 0 THEN 'SameFile' WHEN doc_id % 4 = 1 THEN 'ImportScoped' WHEN doc_id % 4 = 2 THEN 'Global' ELSE 'AmbiguousGlobal' END AS tier, doc_id % 7 = 0 AND doc_id % 5 <> 0 AS alt FROM documents WHERE doc_id % 10 <> 0),
+j AS (SELECT * FROM e FULL JOIN d USING (k)),
+v AS (SELECT tier, CASE WHEN known IS NULL THEN CASE WHEN tier = 'SameFile' THEN 'decided_same_file' ELSE 'decided_other' END WHEN decided IS NULL THEN 'expected_only' WHEN g = t THEN 'TP' WHEN g IS NOT NULL THEN 'FP_ghost' WHEN t IS NOT NULL THEN 'FN' END AS verdict FROM j
+UNION ALL SELECT tier, 'demoted' FROM j WHERE known AND g = t AND tier = 'Global' UNION ALL SELECT tier, 'FP_overmatch' FROM j WHERE known AND g = t AND alt)
+SELECT tier, verdict, count(*) AS n FROM v WHERE verdict IS NOT NULL GROUP BY 1, 2""")
 def resolver_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = table(spark, sf_dir, "labels")
-    return detect.verify(labels.select(F.col("doc_id").alias("key"), F.nullif("quality", F.lit(0)).alias("target")), labels.where("doc_id % 5 <> 0").select(F.col("doc_id").alias("key"), (1 - F.col("toxic")).alias("target"), F.lit(1).alias("tier")))
+    """Labels as what is expected, documents as decisions, each with a second one that is not resolved."""
+    expected = table(spark, sf_dir, "labels").selectExpr("doc_id AS key", "IF(quality = 1, concat('./s/', doc_id % 3, '.d.ts'), NULL) AS target")
+    made = table(spark, sf_dir, "documents").where("doc_id % 10 <> 0")
+    first = made.where("doc_id % 5 <> 0").selectExpr("doc_id AS key", "IF(lang = 'fr', 'x.ts', concat('s/', doc_id % 3, '/index.js')) AS target", "CASE doc_id % 4 WHEN 0 THEN 'SameFile' WHEN 1 THEN 'ImportScoped' WHEN 2 THEN 'Global' ELSE 'AmbiguousGlobal' END AS tier", "IF(doc_id % 7 = 0, 1, 0) AS alt_count")
+    second = made.selectExpr("doc_id AS key", "CAST(NULL AS STRING) AS target", "'Unresolved' AS tier", "0 AS alt_count")
+    return detect.verify(expected, first.unionByName(second), "typescript")
 
 
 @query("SELECT l_orderkey AS change, count(*) AS touched, CASE WHEN count(*) <= 5 THEN 'low' WHEN count(*) <= 30 THEN 'medium' ELSE 'high' END AS risk FROM lineitem GROUP BY 1")

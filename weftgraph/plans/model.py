@@ -24,6 +24,24 @@ PROCESSES = "process_id long, label string, entry_id long, terminal_id long, ste
 # The code profile's vocabularies.
 NODE_KINDS = "File Function Class Method Interface Constructor Property Variable Const Import Route Process Document Section EntryPoint Struct Enum Typedef Namespace Module Macro Annotation Trait Impl SchemaField EventTopic TransactionScope EnumVariant PathLiteral".split()
 REL_TYPES = "Defines Imports Calls Extends Implements HasMethod HasProperty Accesses HandlesRoute StepInProcess References Fetches MirrorsField Publishes Subscribes EventTopicMirror OpensTxScope Overrides Decorates UsesPathLiteral ReadsField CompensatedBy QueriesTable".split()
+BLIND_KINDS = {
+    "c": "c-dlsym",
+    "cpp": "cpp-dlsym",
+    "c_sharp": "cs-activator-create-instance cs-method-invoke",
+    "dart": "dart-function-apply dart-mirrors-import",
+    "go": "go-reflect-method-by-name go-plugin-open",
+    "java": "java-class-forname java-method-invoke",
+    "javascript": "js-eval js-function-ctor js-dynamic-import js-dynamic-require",
+    "kotlin": "kt-class-forname kt-method-invoke",
+    "php": "php-eval php-call-user-func php-variable-call",
+    "python": "python-eval python-exec python-compile python-dynamic-import python-builtin-import python-cross-getattr",
+    "ruby": "rb-eval rb-instance-eval rb-send",
+    "rust": "rs-transmute-fn rs-libloading-get",
+    "swift": "swift-nsclass-from-string swift-perform-selector",
+    "typescript": "ts-eval ts-function-ctor ts-dynamic-import ts-dynamic-require",
+}
+INDIRECT_LANGUAGES = "c cpp javascript python rust typescript".split()
+FORMAT_VERSION = 12
 FLAGS = "is_test is_async is_static is_abstract is_generator is_extern".split()
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.operators import detect, processes, review, routes, search, traverse
+from weftgraph.operators import processes, review, routes, search, traverse
 from weftgraph.plans import model
 from weftgraph.plans.code_queries import docs, parts
 from weftgraph.plans.graph_queries import _IDENTIFIER
@@ -222,14 +222,6 @@ def route_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _route_graph(spark, sf_dir).node_view({"file_path"}).where("kind = 'Route'").select("id", "name", "file_path")
 
 
-@query("SELECT lang AS category, lang AS tool, doc_id AS file_id, count(*) AS n FROM (SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS t FROM documents WHERE lang IN ('en', 'de')) WHERE regexp_matches(t, '(^|[^A-Za-z0-9_])the[.(]') GROUP BY ALL")
-def tool_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), F.posexplode(F.split("text", "\n")).alias("line", "text"))
-    bindings = docs(spark, sf_dir, "doc_id AS file_id", "lang AS module", "'the' AS local")
-    catalog = spark.createDataFrame([("en", "en"), ("de", "de")], "module string, category string")
-    return detect.tool_map(bindings, lines, catalog).groupBy("category", "tool", "file_id").agg(F.count(F.lit(1)).alias("n"))
-
-
 def _stored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     turns = table(spark, sf_dir, "conversations")
     nodes = turns.selectExpr("conv_id * 1000 + turn AS id", "concat(role, turn) AS name")

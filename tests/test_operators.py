@@ -8,7 +8,7 @@ from weftgraph.plans import graph_queries
 from weftgraph.functions import text as X
 from weftgraph.operators import derive, detect, diff, processes, routes, search, telemetry, tools, traverse
 from weftgraph.plans.model import EDGES, FILES, NODES, PropertyGraph
-from weftgraph.sources import code, logs
+from weftgraph.sources import code, contracts, logs
 from weftgraph.streaming import inbox
 
 
@@ -183,6 +183,33 @@ def test_scopes_and_inline_routes(spark):
     assert got(derive.scope_defines(s), "src", "dst") == [(1, 2), (1, 6), (2, 3)]
 
 
+def test_extractors(spark, tmp_path):
+    texts = {
+        "a.go": 'mux.HandleFunc("/u", create)\nr.GET("/u/{id}", s.get)\nhttp.ListenAndServe(":80", mux)\npb.RegisterUserServer(s, &x{})',
+        "a.py": '@app.route("/u", methods=["POST", \'put\'])\n@auth\ndef create():\n  pass\n\n@r.get("/u/<id>")\nasync def one(id):\n  pass\n@app.route("/all")\ndef every(): pass\n@app.route("/k")\nclass K: pass\nu.add_UserServicer_to_server(x, s)\nadd_XServicer_to_server()',
+        "a.tsx": "app.post('/u', create)\napp.all(\"/x\", (a, b) => 1)\napp.listen('/y', z)\ns.addService(user.User.service, {})",
+        "A.java": '@RequestMapping("/api")\npublic class A {\n@PostMapping("/u") @Auth("x") public Map<String, User> create(X x) {}\n.addService(new UserGrpc.UserImplBase() {}) }',
+        "a.rs": '.route("/u", post(create)).route("/n", service(x))\n#[get("/u/{id}")]\n#[auth]\npub async fn one() {}\n#[any("/z")]\nstruct S;\n.add_service(pb::u::UserServer::new(x))',
+        "a.txt": 'mux.HandleFunc("/u", create)',
+    }
+    files = spark.createDataFrame([("r", p, t) for p, t in texts.items()] + [("r", "null.go", None)], "repo string, path string, text string")
+    found = {(r.contract_id, r.symbol) for r in contracts.extracted(files).collect()}
+    assert found == {
+        ("http:ANY:/u", "a.go::create"), ("http:GET:/u/{id}", "a.go::s.get"), ("grpc:User:*", "a.go::RegisterUserServer"),
+        ("http:POST:/u", "a.py::create"), ("http:PUT:/u", "a.py::create"), ("http:GET:/u/<id>", "a.py::one"), ("http:ANY:/all", "a.py::every"), ("grpc:User:*", "a.py::add_UserServicer_to_server"),
+        ("http:POST:/u", "a.tsx::create"), ("http:ANY:/x", "a.tsx::<unknown>"), ("grpc:User:*", "a.tsx::addService::User"),
+        ("http:POST:/u", "A.java::create"), ("grpc:User:*", "A.java::addService::UserImplBase"),
+        ("http:POST:/u", "a.rs::create"), ("http:GET:/u/{id}", "a.rs::one"), ("http:ANY:/z", "a.rs::<unknown>"), ("grpc:User:*", "a.rs::add_service::UserServer"),
+    }
+    words = contracts.Extractor("go", "custom", lambda text: F.transform(F.array(text), lambda t: F.struct(F.substring(t, 1, 3), F.lit("n"), F.lit("s"), F.lit(1.0), F.create_map(F.lit("a"), F.lit("b"))).cast(contracts.ITEM)))
+    assert got(contracts.extracted(files, [words]), "contract_id", "contract_type") == [("mux", "custom")]
+    members = spark.createDataFrame([("r",), ("gone",)], "repo string")
+    asked = spark.createDataFrame([("w", "http:POST:/u", "http", "consumer", "c", "f", "n", 0.5, {})], "repo string, contract_id string, contract_type string, role string, symbol string, file_path string, symbol_name string, confidence float, meta map<string,string>")
+    stored, links, missing = contracts.synced(files, members, str(tmp_path / "g"), asked)
+    assert stored.count() == len(found) + 1 and got(missing, "repo") == [("gone",)]
+    assert {r.p_symbol for r in links.where("match_type = 'exact'").collect()} == {"a.py::create", "a.tsx::create", "A.java::create", "a.rs::create"}
+
+
 def test_derivations(spark):
     nodes = small(spark, [(1, "C", "Class", None, 0, 20), (2, "m", "Method", None, 2, 4), (3, "D", "Class", None, 30, 40), (5, "n", "Method", "C", 50, 52), (7, "p", "Property", None, 3, 3)], []).nodes.withColumn("file_id", F.lit(0).cast("long"))
     assert got(derive.membership(nodes), "src", "dst", "rel_type") == [(1, 2, "HasMethod"), (1, 5, "HasMethod"), (1, 7, "HasProperty")]

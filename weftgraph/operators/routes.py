@@ -80,7 +80,7 @@ def linkable(contracts: DataFrame, paths: tuple[str, ...] = (), param_only: bool
     return contracts.where(~out)
 
 
-def contract_links(contracts: DataFrame, min_score: float = 0.6, candidates: int = 16, exclude: tuple[str, ...] = ()) -> DataFrame:
+def contract_links(contracts: DataFrame, min_score: float = 0.6, candidates: int = 16, exclude: tuple[str, ...] = (), exact_only: bool = False) -> DataFrame:
     """Consumers to providers of other repositories: by equal id with confidence 1, the rest by BM25 over the words of ids.
 
     ``contracts``: (repo, contract_id, role, symbol). Each contract is a document of the index; the ``candidates`` best
@@ -90,6 +90,8 @@ def contract_links(contracts: DataFrame, min_score: float = 0.6, candidates: int
     parts = lambda role, n: kept.where(F.col("role") == role).select(F.col("repo").alias(f"{n}_repo"), F.col("symbol").alias(f"{n}_symbol"), F.col("contract_id").alias(f"{n}_id"))
     left, right = parts("consumer", "c"), parts("provider", "p")
     same = left.join(right, F.col("c_id") == F.col("p_id")).where("c_repo <> p_repo").select(*left.columns, *right.columns, F.lit(1.0).alias("confidence"), F.lit("exact").alias("match_type"))
+    if exact_only:
+        return same
     rest = left.join(same.select(*left.columns).distinct(), left.columns, "left_anti")
     # Ids are scored once each, however many contracts have them.
     ids = kept.groupBy(F.col("contract_id").alias("id")).agg(F.count(F.lit(1)).alias("copies"))

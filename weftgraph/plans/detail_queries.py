@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from weftgraph.operators import detect, diff, routes, tools
 from weftgraph.plans import model
 from weftgraph.plans.code_queries import docs, parts
-from weftgraph.sources import commerce
+from weftgraph.plans.scratch import folder
+from weftgraph.sources import commerce, contracts
 from weftgraph.sources.commerce import table
 from weftgraph.streaming import inbox
 
@@ -169,6 +170,44 @@ def route_consumers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", F.size("consumers").cast("long").alias("files"), F.coalesce(F.array_max(sure), F.lit(0.0)).alias("best"), F.aggregate(sure, F.lit(0.0), lambda a, x: a + x).alias("total"))
 
 
+# Each document ends in a snippet of one of five languages that provides a route and a service.
+_SNIPPETS = {
+    "go": ("go", 'mux.HandleFunc("/d/#", h#)\npb.RegisterS#Server(s, x)', "ANY", "h#", "RegisterS#Server"),
+    "py": ("python", '\n@app.route("/d/#", methods=["PUT"])\n@wrapped\ndef h#(x):\n  p.add_S#Servicer_to_server(x)', "PUT", "h#", "add_S#Servicer_to_server"),
+    "ts": ("node", "app.get('/d/#', (q, s) => 1)\nserver.addService(p.S#.service, {})", "GET", "<unknown>", "addService::S#"),
+    "java": ("java", '@PostMapping("/d/#") public String h#() {}\n.addService(new A.S#ImplBase() {})', "POST", "h#", "addService::S#ImplBase"),
+    "rs": ("rust", '.route("/d/#", delete(h#))\n.add_service(pb::x::S#Server::new(a))', "DELETE", "h#", "add_service::S#Server"),
+}
+_CONTRACTS = " UNION ALL ".join(
+    f"""SELECT source AS repo, replace(id, '#', doc_id::VARCHAR) AS contract_id, 'd' || doc_id || '.{ending}::' || replace(symbol, '#', doc_id::VARCHAR) AS symbol, sure::DOUBLE AS confidence
+FROM documents, (VALUES ('http:{verb}:/d/#', '{handler}', 0.85), ('grpc:S#:*', '{service}', 0.9)) AS c(id, symbol, sure) WHERE doc_id % 5 = {k}"""
+    for k, (ending, (_, _, verb, handler, service)) in enumerate(_SNIPPETS.items())
+)
+
+
+def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    snippet = F.get(F.array(*(F.lit(s[1]) for s in _SNIPPETS.values())), (F.col("doc_id") % 5).cast("int"))
+    ending = F.get(F.array(*map(F.lit, _SNIPPETS)), (F.col("doc_id") % 5).cast("int"))
+    number = F.col("doc_id").cast("string")
+    text = F.concat("text", F.lit("\n"), F.replace(snippet, F.lit("#"), number))
+    return table(spark, sf_dir, "documents").select(F.col("source").alias("repo"), F.concat(F.lit("d"), number, F.lit("."), ending).alias("path"), text.alias("text"))
+
+
+@query(_CONTRACTS)
+def extracted_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Routes and services that the documents provide."""
+    return contracts.extracted(_sources(spark, sf_dir)).select("repo", "contract_id", "symbol", F.round(F.col("confidence").cast("double"), 6).alias("confidence"))
+
+
+@query(f"""WITH p AS ({_CONTRACTS}) SELECT 'web' AS c_repo, 'c' || page_id AS c_symbol, p.repo AS p_repo, p.symbol AS p_symbol, 'exact' AS match_type FROM pages JOIN p ON p.contract_id = 'http:ANY:/d/' || page_id""")
+def group_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact links from pages that fetch a route to the documents that provide it, read back from the stored registry."""
+    files = _sources(spark, sf_dir)
+    asked = table(spark, sf_dir, "pages").selectExpr("'web' AS repo", "concat('http:ANY:/d/', page_id) AS contract_id", "'http' AS contract_type", "'consumer' AS role", "concat('c', page_id) AS symbol", "url AS file_path", "'f' AS symbol_name", "CAST(0.8 AS FLOAT) AS confidence", "map('method', 'ANY') AS meta")
+    _, links, _ = contracts.synced(files, files.select("repo").distinct(), folder(spark, "group"), asked, exact_only=True)
+    return links.select("c_repo", "c_symbol", "p_repo", "p_symbol", "match_type")
+
+
 # --- differences
 
 

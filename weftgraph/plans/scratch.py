@@ -25,8 +25,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """The path of a new folder in the shared one."""
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame, name: str = "scratch", by: str | None = None) -> DataFrame:
     """``df`` as a written table, in folders by a column if one is named: its lineage is cut, and a lost executor costs nothing."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = folder(df.sparkSession, name)
     (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -8,7 +8,7 @@ from weftgraph.plans import graph_queries
 from weftgraph.functions import text as X
 from weftgraph.operators import derive, detect, diff, processes, routes, search, telemetry, tools, traverse
 from weftgraph.plans.model import EDGES, FILES, NODES, PropertyGraph
-from weftgraph.sources import code, contracts, logs
+from weftgraph.sources import code, contracts, logs, shapes
 from weftgraph.streaming import inbox
 
 
@@ -210,6 +210,39 @@ def test_extractors(spark, tmp_path):
     assert {r.p_symbol for r in links.where("match_type = 'exact'").collect()} == {"a.py::create", "a.tsx::create", "A.java::create", "a.rs::create"}
 
 
+def test_fetches_and_keys(spark):
+    text = F.col("a")
+    found = values(spark, F.transform(shapes.fetched(text), lambda f: F.concat_ws(" ", f["method"], f["url"])), ('fetch("/api/users")',), ("fetch('/api/users', { 'method': 'POST' }); fetch('/api/users')",), ('fetch(`/a/${id}`); prefetch("/b"); axios . delete ( "/c" )',), ("$.post('/d'); httpx.head('/e'); requests.patch(\"/f\"); requests.get('/f')",), ("",), (None,))
+    assert found == [["GET /api/users"], ["POST /api/users"], ["DELETE /c"], ["POST /d", "HEAD /e", "PATCH /f", "GET /f"], [], None]
+    keys = values(spark, shapes.read_keys(text), ("const { id, name: n } = await res.json()",), ('const { items } = await fetch("/x").json()',), ("let { total } = data; mydata.x; dataset.y",), ("response?.bar; result.baz; data.map(x); body .foo; json.length",), ("",))
+    assert keys == [["id", "name"], ["items"], ["total"], ["bar", "baz", "foo"], []]
+
+
+def test_answers(spark):
+    js = {
+        "res.status(200).json({ id, name })": (["id", "name"], []),
+        'res.status(400).json({ error: "bad" })': ([], ["error"]),
+        "return Response.json({ msg }, { status: 401 })": ([], ["msg"]),
+        "res.json({ id, name: u.name, user: { no, never: 1 }, age: 10 })": (["age", "id", "name", "user"], []),
+        "res.json({ \"courses\": 1, 'flag': 2, x: 'y', z: \"{ q: 1 }\" })": (["courses", "flag", "x", "z"], []),
+        "res.json({ ...rest, id })": (["id", "rest"], []),
+        "if (err) res.status(500).json({ error }); else res.json({a, ok})": (["a", "ok"], ["error"]),
+        "return new Response(JSON.stringify({ items })); res.json(rows); res.json({ open: 1": (["open"], []),
+    }
+    for text, want in js.items():
+        assert tuple(map(sorted, shapes.script_shape(text))) == want, text
+    php = {
+        "echo json_encode(['a' => 1, \"b\" => ['no' => 2], 'c' => f('x', ['y' => 1])]);": (["a", "b", "c"], []),
+        "http_response_code(404); echo json_encode(array('error' => 'x', 'why' => array('z' => 1)));": ([], ["error", "why"]),
+        "http_response_code(500); die('no'); echo json_encode(['ok' => \"it's [fine\"]);": (["ok"], []),
+        "header('HTTP/1.1 403 Forbidden'); json_encode(['e' => 1]); header('Status: 200'); json_encode($x); json_encode(['open' => 1": ([], ["e"]),
+    }
+    for text, want in php.items():
+        assert tuple(map(sorted, shapes.php_shape(text))) == want, text
+    files = spark.createDataFrame([(1, "typescript", "res.json({ a })"), (2, "python", "res.json({ a })"), (3, "php", ""), (4, "php", None)], "file_id long, language string, text string")
+    assert got(shapes.answers(files), "file_id", "response_keys", "error_keys") == [(1, ["a"], [])]
+
+
 def test_derivations(spark):
     nodes = small(spark, [(1, "C", "Class", None, 0, 20), (2, "m", "Method", None, 2, 4), (3, "D", "Class", None, 30, 40), (5, "n", "Method", "C", 50, 52), (7, "p", "Property", None, 3, 3)], []).nodes.withColumn("file_id", F.lit(0).cast("long"))
     assert got(derive.membership(nodes), "src", "dst", "rel_type") == [(1, 2, "HasMethod"), (1, 5, "HasMethod"), (1, 7, "HasProperty")]

@@ -9,7 +9,7 @@ from weftgraph.operators import detect, diff, routes, tools
 from weftgraph.plans import model
 from weftgraph.plans.code_queries import docs, parts
 from weftgraph.plans.scratch import folder
-from weftgraph.sources import commerce, contracts
+from weftgraph.sources import commerce, contracts, shapes
 from weftgraph.sources.commerce import table
 from weftgraph.streaming import inbox
 
@@ -208,6 +208,34 @@ def group_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.select("c_repo", "c_symbol", "p_repo", "p_symbol", "match_type")
 
 
+# --- fetches and answers
+
+# Each document ends in a script that fetches by its number and language, or answers with its number as a key.
+_FETCHING = """const { a#, b: c } = await res.json(); x = data?.k# + data.map(f);
+fetch("/f/#"); fetch('/f/#', { cache: 1, method: 'put' }); fetch(`/g/#`); axios.post("/x/$LANG"); requests.get('/y')"""
+_ANSWERING = """res.status(200).json({ k#, nested: { no: 1 }, "$LANG": f(x) }); if (e) return Response.json({ error: "{ z }" }, { status: 404 })"""
+_PHP = """http_response_code(500); echo json_encode(['k#' => ['no' => 1], "$LANG" => 2]); exit; echo json_encode(array('ok' => 1));"""
+
+
+def _scripts(spark: SparkSession, sf_dir: str, *snippets: str) -> DataFrame:
+    n = len(snippets)
+    snippet = F.get(F.array(*map(F.lit, snippets)), (F.col("doc_id") % n).cast("int"))
+    filled = F.replace(F.replace(snippet, F.lit("#"), F.col("doc_id").cast("string")), F.lit("$LANG"), F.col("lang"))
+    language = F.when(F.col("doc_id") % n == 0, "typescript").otherwise("php")
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), language.alias("language"), F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), filled).alias("text"))
+
+
+@query("""SELECT doc_id AS file_id, replace(method, '$', '') AS method, replace(replace(url, '#', doc_id::VARCHAR), '$', lang) AS url, ['a' || doc_id, 'b', 'k' || doc_id] AS keys
+FROM documents, (VALUES ('PUT', '/f/#'), ('GET', '/g/#'), ('POST', '/x/$'), ('GET', '/y')) AS c(method, url)""")
+def fetching_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shapes.consumers(_scripts(spark, sf_dir, _FETCHING))
+
+
+@query("""SELECT doc_id AS file_id, CASE WHEN doc_id % 2 = 0 THEN list_sort(['k' || doc_id, 'nested', lang]) ELSE ['ok'] END AS response_keys, CASE WHEN doc_id % 2 = 0 THEN ['error'] ELSE list_sort(['k' || doc_id, lang]) END AS error_keys FROM documents""")
+def answering_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shapes.answers(_scripts(spark, sf_dir, _ANSWERING, _PHP))
+
+
 # --- differences
 
 

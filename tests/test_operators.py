@@ -119,6 +119,10 @@ def test_detectors(spark):
     assert got(detect.mentions(lines, "pay"), "line", "context") == [(1, "test"), (2, "markdown"), (4, "code"), (5, "test"), (6, "data")]
     lit = spark.createDataFrame([("session_meta.json", "d", "json", "read"), ("session-meta.json", "d", "json", "write"), ("other.json", "d", "json", "write"), ("session_meta.json", "e", "json", "write")], "literal string, directory string, extension string, access string")
     assert got(detect.literal_pairs(lit), "read", "written") == [("session_meta.json", "session-meta.json")]
+    odd = [("cfg", "read"), ("data", "read"), ("my-data.old", "write"), ("----", "read"), ("a ---- b", "write"), ("x" * 40, "write"), ("x" * 34 + "y", "read"), ("dataset", "write"), ("a/b/long_name", "write"), ("long_name", "read"), ("", "read")]
+    lit = spark.createDataFrame([(x, "d", "e", a) for x, a in odd], "literal string, directory string, extension string, access string")
+    brute = lit.where("access = 'read'").select(F.col("literal").alias("read")).crossJoin(lit.where("access = 'write'").select(F.col("literal").alias("written"))).where(X.literal_likeness(F.col("read"), F.col("written")) >= 0.85)
+    assert got(detect.literal_pairs(lit), "read", "written") == got(brute, "read", "written") != []
     both = spark.createDataFrame([("T", "Class"), ("T", "Impl"), ("U", "Impl")], "name string, kind string")
     assert got(detect.without_impls(both), "name", "kind", "suppressed") == [("T", "Class", 1), ("U", "Impl", 0)]
 

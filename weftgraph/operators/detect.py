@@ -141,11 +141,25 @@ def verify(expected: DataFrame, decided: DataFrame, language: str = "") -> DataF
 
 
 def literal_pairs(literals: DataFrame, least: float = 0.85) -> DataFrame:
-    """Literals (literal, directory, extension, access) that only read and others that only write, alike within a directory and extension."""
+    """Literals (literal, directory, extension, access) that only read and others that only write, alike within a directory and extension.
+
+    Two literals are compared if their lengths allow so few edits, or if the longest word of the shorter is a word of the
+    longer, as it is wherever one sits in the other at a boundary; no other pair can be alike.
+    """
     groups = literals.groupBy("literal", "directory", "extension").agg(F.bool_or(F.col("access") == "read").alias("r"), F.bool_or(F.col("access") == "write").alias("w"))
-    reads = groups.where("r AND NOT w").select("directory", "extension", F.col("literal").alias("read"))
-    writes = groups.where("w AND NOT r").select("directory", "extension", F.col("literal").alias("written"))
-    return reads.join(writes, ["directory", "extension"]).withColumn("likeness", literal_likeness(F.col("read"), F.col("written"))).where(F.col("likeness") >= least)
+    place = ["directory", "extension"]
+    reads = groups.where("r AND NOT w").select(*place, F.col("literal").alias("read"))
+    writes = groups.where("w AND NOT r").select(*place, F.col("literal").alias("written"))
+    size = F.length("read")
+    lengths = F.sequence(F.ceil(size * least - 1e-9).cast("int"), F.floor(size / least + 1e-9).cast("int"))
+    near = reads.withColumn("length", F.explode(lengths)).join(writes.withColumn("length", F.length("written")), [*place, "length"]).select(*place, "read", "written")
+    words = lambda c: F.array_distinct(F.split(F.col(c), "[^A-Za-z0-9]+"))
+    # A literal without words has the empty one, which every literal is given.
+    every = lambda df, c: df.withColumn("word", F.explode(F.array_union(words(c), F.array(F.lit("")))))
+    longest = lambda df, c: df.where(F.length(c) >= 4).withColumn("word", F.array_max(F.transform(words(c), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
+    parts = [longest(reads, "read").join(every(writes, "written"), [*place, "word"]), every(reads, "read").join(longest(writes, "written"), [*place, "word"])]
+    pairs = reduce(DataFrame.unionByName, [near, *(p.select(*place, "read", "written") for p in parts)]).distinct()
+    return pairs.withColumn("likeness", literal_likeness(F.col("read"), F.col("written"))).where(F.col("likeness") >= least)
 
 
 def rename_targets(nodes: DataFrame, target: str) -> DataFrame:

@@ -157,7 +157,13 @@ def enriched(graph, hits: DataFrame) -> DataFrame:
 
 
 def batch(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The k best rows (id, name) for each line of ``queries`` (query); blank lines and comments are skipped. Names join on equal tokens."""
-    asked = queries.where((F.trim("query") != "") & ~F.col("query").startswith("#")).distinct().select("query", F.explode(F.array_distinct(identifier_tokens(F.col("query")))).alias("t"))
-    held = rows.select("id", "name", F.explode(F.array_distinct(identifier_tokens(F.col("name")))).alias("t"))
-    return bucketed(asked.join(held, "t").groupBy("query", "id", "name").agg(F.count(F.lit(1)).alias("common")), "query", k, F.desc("common"), F.col("id"))
+    """(query, id, name, score, rank): the k best rows (id, name) by BM25 for each line of ``queries`` (query); blank lines and comments are skipped.
+
+    Names are scored once each, however many rows have them; of a name the k rows with the smallest ids can be among the best.
+    """
+    asked = queries.select(F.trim("query").alias("query")).where((F.col("query") != "") & ~F.col("query").startswith("#")).distinct()
+    names = rows.groupBy(F.col("name").alias("id")).agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("least"))
+    scored = bm25_between(asked, names, identifier_tokens).join(names.select("id", "least"), "id").withColumn("score", F.round("score", 9))
+    best = bucketed(scored, "query", k, F.desc("score"), F.col("least")).select("query", F.col("id").alias("name"), "score")
+    first = bucketed(rows.select("id", "name"), "name", k, F.col("id")).drop("rank")
+    return bucketed(best.join(first, "name").select("query", "id", "name", "score"), "query", k, F.desc("score"), F.col("id"))

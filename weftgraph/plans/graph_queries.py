@@ -248,12 +248,16 @@ def enriched_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.enriched(g, g.nodes.where("kind = 'Nation'").select("id", "name"))
 
 
-@query("""WITH q AS (SELECT DISTINCT p_name AS query, string_split(p_name, ' ') AS t FROM part), c AS (
-  SELECT query, p_partkey AS id, p_name AS name, len(list_intersect(list_prepend(query, t), list_prepend(p_name, string_split(p_name, ' ')))) AS common FROM q, part)
-SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY common DESC, id) AS rank FROM c WHERE common > 0) WHERE rank <= 3""")
+@query("""WITH d AS (SELECT p_partkey AS id, p_name AS name, list_prepend(p_name, string_split(p_name, ' ')) AS tokens FROM part), total AS (SELECT count(*) AS n, avg(len(tokens)) AS mean FROM d),
+tf AS (SELECT id, name, size, term, count(*) AS tf FROM (SELECT id, name, len(tokens) AS size, unnest(tokens) AS term FROM d) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+q AS (SELECT query, unnest(list_prepend(query, string_split(query, ' '))) AS term FROM (SELECT DISTINCT p_name AS query FROM part)),
+s AS (SELECT query, id, name, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))), 9) AS score FROM q JOIN tf USING (term) JOIN df USING (term), total GROUP BY 1, 2, 3)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 40""")
 def batch_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every name as a query, with comments and blank lines between."""
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
-    return search.batch(parts, parts.select(F.col("name").alias("query")), 3).withColumn("rank", F.col("rank").cast("long"))
+    lines = parts.select(F.explode(F.array(F.concat(F.lit("  "), "name"), F.concat(F.lit("# "), "name"), F.lit(" "))).alias("query"))
+    return search.batch(parts, lines, 40).withColumn("rank", F.col("rank").cast("long"))
 
 
 # --- routes and contracts

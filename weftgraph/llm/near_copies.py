@@ -1,16 +1,20 @@
 """Near copies by the Jaccard coefficient of their sets of five-word shingles.
 
-This is the near-duplicate stage of the pipeline. Fingerprints of 64 bits cannot carry a coefficient of 0.8: such
-pairs differ in some ten bits, and segments short enough to differ in one bit at most are shared by chance. So the
-candidates come from minimum hashes instead; copies, components and the choice of rows are those of ``simhash_dedup``.
-
-Each distinct set of shingles gets 288 minimum hashes in 48 bands of six. All sets of a band are joined to its
-smallest one, a star, so that a crowded band costs as many edges as it has sets; the components of the stars are
-groups. A pair at just 0.8 shares no band, and so may be in no common group, with a chance of about one in two million,
-and less above. Within a group all pairs are compared in full, and those with a coefficient of ``LEAST`` or more are
-linked. A large group is cut into blocks by size of set and by hash; every two blocks whose sizes allow a link meet
-in a cell of their own, so no task holds more than two blocks. A cell gives the links of a spanning forest, at most
-one for each of its rows; every link of the group lies within one cell's forest.
+This is the near-duplicate stage of the pipeline, by the method of ``simhash_dedup`` on sets of shingles: each distinct
+set has a SimHash fingerprint, deletion variants of its halves index it, an equality join and verification find all
+fingerprints within two bits, and contraction makes components. The fingerprints' links are candidates here, and an
+exact check follows: sets in one group of candidates are compared in full, and those with a coefficient of ``LEAST``
+or more are linked.
+
+Fingerprints of 64 bits cannot carry a coefficient of 0.8 alone: such pairs differ in some ten bits, and segments short
+enough to differ in one bit at most are shared by chance. So candidates beyond two bits are added by minimum hashes:
+each set has 288 of them in 48 bands of six. All sets of a band are joined to its smallest one, a star, so that a
+crowded band costs as many edges as it has sets; the components of the stars and the fingerprints' links are groups. A
+pair at just 0.8 shares no band with a chance of about one in two million, and less above.
+
+A large group is cut into blocks by size of set and by hash; every two blocks whose sizes allow a link meet in a cell
+of their own, so no task holds more than two blocks. A cell gives the links of a spanning forest, at most one for each
+of its rows; every link of the group lies within one cell's forest.
 
 Defined cases: a null text counts as empty, and texts without words are one class; a text of fewer than five words
 is one shingle; case and the kind of white space do not count, so equal sets are one class and never meet in pairs.
@@ -29,9 +33,10 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftgraph.llm import simhash_dedup
 from weftgraph.llm.common import NO_ID, discard, partitions_for, written
 from weftgraph.llm.components import components
-from weftgraph.llm.simhash_dedup import keep_rows
+from weftgraph.llm.simhash_dedup import keep_rows, majority
 
 WORDS = 5
 #: Least Jaccard coefficient of a link.
@@ -40,7 +45,7 @@ BANDS, ROWS = 48, 6
 SEED = 42
 #: Sets and shingles of a block, on average.
 BLOCK_ROWS, BLOCK_HASHES = 256, 1 << 17
-_CHUNK = 512
+_CHUNK, _PART = 512, 1 << 16
 _drawn = np.random.default_rng(SEED)
 _FACTORS, _TERMS = _drawn.integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1), _drawn.integers(0, 1 << 64, BANDS * ROWS, np.uint64)
 
@@ -65,19 +70,25 @@ def bands(hashes: np.ndarray) -> np.ndarray:
     return np.array([digest(x.tobytes(), SEED + k) for k, x in enumerate(least.reshape(BANDS, ROWS))], np.uint64).view(np.int64)
 
 
+def fingerprint(hashes: np.ndarray) -> int:
+    """The SimHash of a set of shingles; zero for the empty set."""
+    return majority((hashes[at : at + _PART] for at in range(0, len(hashes), _PART)), len(hashes))
+
+
 def _signed(found: list[int]) -> pa.Array:
     return pa.array(np.array(found, np.uint64).view(np.int64))
 
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, sizes, keys = [], [], []
+        ids, sizes, prints, keys = [], [], [], []
         for t in batch.column("text").cast(pa.binary()).to_pylist():
             s = shingles(t or b"")
             ids.append(xxhash.xxh64_intdigest(s.tobytes(), SEED))
             sizes.append(len(s))
+            prints.append(fingerprint(s))
             keys.append(bands(s).tolist())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), _signed(ids), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "text_key", "id", "n", "bands"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), _signed(ids), pa.array(sizes, pa.int32()), _signed(prints), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "text_key", "id", "n", "fp", "bands"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,12 +143,28 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from out()
 
 
+def fingerprint_edges(first: DataFrame) -> DataFrame:
+    """(a, b) of sets in ``first`` (id, n, fp) that join all whose fingerprints differ in at most two bits.
+
+    Sets of one fingerprint are joined to the smallest, and of two linked fingerprints the smallest sets.
+    """
+    sets = first.where("n > 0").select("id", "fp")
+    prints = written(sets.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("m")), "prints")
+    of = lambda fp, name: prints.select(F.col("fp").alias(fp), F.col("least").alias(name))
+    pairs = simhash_dedup.links(prints.select("fp")).join(of("a", "x"), "a").join(of("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    same = sets.join(prints.where("m > 1"), "fp").where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b"))
+    found = written(pairs.union(same), "near")
+    discard(prints)
+    return found
+
+
 def groups(first: DataFrame) -> DataFrame:
-    """(id, root) of the sets in ``first`` (id, bands) that share a band with another, by the components of the bands' stars."""
+    """(id, root) of the sets in ``first`` (id, n, fp, bands) that are candidates with another: components of the fingerprints' links and of the bands' stars."""
+    near = fingerprint_edges(first)
     keys = first.select(F.explode("bands").alias("key"), "id")
     least = keys.groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("m")).where("m > 1").select("key", "least")
     stars = keys.join(least, "key").where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b"))
-    return components(stars.distinct()).withColumnRenamed("node", "id")
+    return components(stars.union(near).distinct()).withColumnRenamed("node", "id")
 
 
 def cells(members: DataFrame) -> DataFrame:
@@ -168,7 +195,7 @@ def cells(members: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame, first: DataFrame) -> DataFrame:
-    """Pairs (a, b) of the distinct sets in ``first`` (id, first, n, bands) with a coefficient of ``LEAST`` or more.
+    """Pairs (a, b) of the distinct sets in ``first`` (id, first, n, fp, bands) with a coefficient of ``LEAST`` or more.
 
     They join what all such pairs join; pairs of sets that others join already may be left out.
     """
@@ -186,12 +213,17 @@ def links(docs: DataFrame, first: DataFrame) -> DataFrame:
     return out
 
 
-def near_copies(docs: DataFrame) -> DataFrame:
-    """(id, first, root): of each distinct set its first row and the root of its group of linked sets."""
+def classes(docs: DataFrame) -> DataFrame:
+    """(id, first, n, fp, bands): of each distinct set its first row, size, fingerprint and bands, written to the shared folder."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
-    described = rows.mapInArrow(_described, "doc_id long, text_key long, id long, n int, bands array<long>")
+    described = rows.mapInArrow(_described, "doc_id long, text_key long, id long, n int, fp long, bands array<long>")
     row = F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.col("text_key").alias("text_key"))
-    first = written(described.groupBy("id").agg(F.min(row).alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
+    return written(described.groupBy("id").agg(F.min(row).alias("first"), *(F.first(c).alias(c) for c in ("n", "fp", "bands"))), "classes")
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """(id, first, root): of each distinct set its first row and the root of its group of linked sets."""
+    first = classes(docs)
     roots = components(links(docs, first)).withColumnRenamed("node", "id")
     return first.select("id", "first").join(roots, "id", "left").select("id", "first", F.coalesce("root", "id").alias("root"))
 

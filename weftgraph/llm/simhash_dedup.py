@@ -15,7 +15,7 @@ a null doc_id is no component id unless the component has no other. An empty tab
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,19 +35,28 @@ CROWD = 128
 _CHUNK = 1 << 16
 
 
+def majority(parts: Iterable[np.ndarray], n: int) -> int:
+    """Bits that are set in over half of ``n`` hashes, which come in parts, as an unsigned number."""
+    total = np.zeros(64, dtype=np.int64)
+    for h in parts:
+        total += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int(np.packbits(total * 2 > n).view(">u8")[0])
+
+
 def fingerprint(text: bytes, words: int = WORDS) -> int:
     """Bits that are set in over half the shingle hashes, as an unsigned number."""
     w = text.lower().split()
     if not w:
         return 0
-    total, n = np.zeros(64, dtype=np.int64), max(1, len(w) - words + 1)
-    digest, join = xxhash.xxh64_intdigest, b" ".join
-    for at in range(0, n, _CHUNK):
-        part = w[at : at + _CHUNK + words - 1]
-        shingles = zip(*(part[k:] for k in range(words)), strict=False) if len(part) >= words else [part]
-        h = np.array([digest(join(x), SEED) for x in shingles], dtype=">u8")
-        total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int(np.packbits(total * 2 > n).view(">u8")[0])
+    n, digest, join = max(1, len(w) - words + 1), xxhash.xxh64_intdigest, b" ".join
+
+    def hashes() -> Iterator[np.ndarray]:
+        for at in range(0, n, _CHUNK):
+            part = w[at : at + _CHUNK + words - 1]
+            shingles = zip(*(part[k:] for k in range(words)), strict=False) if len(part) >= words else [part]
+            yield np.array([digest(join(x), SEED) for x in shingles], dtype=">u8")
+
+    return majority(hashes(), n)
 
 
 def _fingerprints(words: int):

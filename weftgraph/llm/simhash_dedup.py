@@ -39,7 +39,7 @@ def majority(parts: Iterable[np.ndarray], n: int) -> int:
     """Bits that are set in over half of ``n`` hashes, which come in parts, as an unsigned number."""
     total = np.zeros(64, dtype=np.int64)
     for h in parts:
-        total += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+        total += np.unpackbits(h.astype(">u8", copy=False).view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
     return int(np.packbits(total * 2 > n).view(">u8")[0])
 
 
